@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import sharding
+from graphloom.llm import secrets, sharding
 from graphloom.llm.common import read_table
 
 
+def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op8_documents(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_ring_shards": op8_ring_shards}
+    return {"op5_markov_secrets": op5_markov_secrets, "op8_ring_shards": op8_ring_shards}
 
 
 def oracle_sql() -> dict[str, str]:

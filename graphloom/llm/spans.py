@@ -16,15 +16,16 @@ _PLACE = "array<struct<start:bigint,end:bigint,hit:string,part:string>>"
 
 def places(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, hit, part>> of the leftmost non-overlapping matches; ``part`` is the group."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), parts.alias("part"))
+    columns = [F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")]
+    if group:
+        columns.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
+    pairs = F.arrays_zip(*columns)
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as {_PLACE})").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.char_length(x["gap"])
         end = begin + F.coalesce(F.char_length(x["hit"]), F.lit(0))
-        one = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["part"].alias("part"))
+        one = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["part" if group else "hit"].alias("part"))
         return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], one)).alias("out"))
 
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
