@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import pii, secrets, sharding
+from graphloom.llm import pii, quality, secrets, sharding
 from graphloom.llm.common import read_table
 
 
+def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read_table(spark, sf_dir, "documents"))
+
+
 def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read_table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_boosted_pii": op4_boosted_pii, "op5_markov_secrets": op5_markov_secrets, "op8_ring_shards": op8_ring_shards}
+    return {"op2_rule_ledger": op2_rule_ledger, "op4_boosted_pii": op4_boosted_pii, "op5_markov_secrets": op5_markov_secrets, "op8_ring_shards": op8_ring_shards}
 
 
 def oracle_sql() -> dict[str, str]:
