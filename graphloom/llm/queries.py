@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import pii, quality, secrets, sharding
+from graphloom.llm import licenses, pii, quality, secrets, sharding
 from graphloom.llm.common import read_table
 
 
@@ -26,8 +26,12 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op8_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_rare_token_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_rule_ledger": op2_rule_ledger, "op4_boosted_pii": op4_boosted_pii, "op5_markov_secrets": op5_markov_secrets, "op8_ring_shards": op8_ring_shards}
+    return {"op2_rule_ledger": op2_rule_ledger, "op4_boosted_pii": op4_boosted_pii, "op5_markov_secrets": op5_markov_secrets, "op8_ring_shards": op8_ring_shards, "op9_rare_token_licenses": op9_rare_token_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
