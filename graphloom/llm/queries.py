@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import licenses, pii, quality, secrets, sharding
+from graphloom.llm import licenses, packing, pii, quality, secrets, sharding
 from graphloom.llm.common import read_table
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"))
 
@@ -30,8 +37,12 @@ def op9_rare_token_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op10_documents(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_rule_ledger": op2_rule_ledger, "op4_boosted_pii": op4_boosted_pii, "op5_markov_secrets": op5_markov_secrets, "op8_ring_shards": op8_ring_shards, "op9_rare_token_licenses": op9_rare_token_licenses}
+    return {"op2_rule_ledger": op2_rule_ledger, "op4_boosted_pii": op4_boosted_pii, "op5_markov_secrets": op5_markov_secrets, "op8_ring_shards": op8_ring_shards, "op9_rare_token_licenses": op9_rare_token_licenses, "op10_binary_packing": op10_binary_packing}
 
 
 def oracle_sql() -> dict[str, str]:
