@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import licenses, packing, pii, quality, secrets, sharding
+from graphloom.llm import bpe, licenses, packing, pii, quality, secrets, sharding
 from graphloom.llm.common import read_table
 
 
@@ -21,6 +21,12 @@ def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"))
 
 
+def op3_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.op3_documents(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read_table(spark, sf_dir, "documents"))
 
@@ -42,7 +48,7 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_rule_ledger": op2_rule_ledger, "op4_boosted_pii": op4_boosted_pii, "op5_markov_secrets": op5_markov_secrets, "op8_ring_shards": op8_ring_shards, "op9_rare_token_licenses": op9_rare_token_licenses, "op10_binary_packing": op10_binary_packing}
+    return {"op2_rule_ledger": op2_rule_ledger, "op3_distinct_word_bpe": op3_distinct_word_bpe, "op4_boosted_pii": op4_boosted_pii, "op5_markov_secrets": op5_markov_secrets, "op8_ring_shards": op8_ring_shards, "op9_rare_token_licenses": op9_rare_token_licenses, "op10_binary_packing": op10_binary_packing}
 
 
 def oracle_sql() -> dict[str, str]:
