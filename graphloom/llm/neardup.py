@@ -11,8 +11,9 @@
    are confirmed on full sets in the block. No pair becomes a row.
 4. Components of all links; class members follow their representative.
 
-Bands of 5 in 24 miss a pair at the similarity itself with probability 1e-6, the
-sketch filter with 3e-5; both vanish above it.
+24 bands of 5 values (from a similarity of 0.85), or 30 of 4, miss a pair at the
+similarity itself with probability 1e-6, the sketch filter with 3e-5; both vanish
+above it.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import checkpoint, written
 from graphloom.llm.components import connected
 
-ROWS, BANDS, SKETCH_BITS = 5, 24, 512
-#: Sketch estimates below this are taken as dissimilar: 4 standard deviations under 0.85.
+VALUES, SKETCH_BITS = 120, 512
+#: Sketch estimates below this are taken as dissimilar: 4 standard deviations.
 SLACK = 0.15
 BLOCK = 1024
 _U = np.uint64
@@ -53,7 +54,7 @@ def shingle_set(text: str | None, size: int = 3) -> np.ndarray:
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
-    k = ROWS * BANDS
+    k = VALUES
     return rng.integers(1, 1 << 63, k, dtype=_U) * _U(2) + _U(1), rng.integers(0, 1 << 63, k, dtype=_U)
 
 
@@ -71,9 +72,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    rows, keys = values.reshape(BANDS, ROWS).astype(_U), np.arange(1, BANDS + 1, dtype=_U)
-    for k in range(ROWS):
+def bands_for(percent: int) -> int:
+    return 24 if percent >= 85 else 30
+
+
+def band_keys(values: np.ndarray, bands: int) -> np.ndarray:
+    rows, keys = values.reshape(bands, -1).astype(_U), np.arange(1, bands + 1, dtype=_U)
+    for k in range(rows.shape[1]):
         keys = _mix(keys * _U(0x9E3779B97F4A7C15) + rows[:, k])
     return keys
 
@@ -88,13 +93,13 @@ def odd_sketch(values: np.ndarray) -> np.ndarray:
 def estimate(differing_bits: np.ndarray) -> np.ndarray:
     """Jaccard similarity from the population count of two sketches' XOR."""
     inside = np.maximum(1 - 2 * differing_bits / SKETCH_BITS, 1e-9)
-    return 1 + SKETCH_BITS / (4 * ROWS * BANDS) * np.log(inside)
+    return 1 + SKETCH_BITS / (4 * VALUES) * np.log(inside)
 
 
 _FEATURES = "doc_id bigint, n_shingles bigint, class binary, keys binary, sketch binary"
 
 
-def _features(size: int):
+def _features(size: int, bands: int):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -107,7 +112,7 @@ def _features(size: int):
                 if len(s):
                     values = minhashes(s, a, c)
                     classes.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    keys.append(band_keys(values).tobytes())
+                    keys.append(band_keys(values, bands).tobytes())
                     sketches.append(odd_sketch(values).tobytes())
                 else:
                     classes.append(None), keys.append(None), sketches.append(None)
@@ -146,14 +151,14 @@ _BLOCK_KEY = ["band", "key", "i", "j"]
 _PAIRS = "band int, key bigint, i int, j int, xs array<bigint>, ys array<bigint>"
 
 
-def _screen(least: float):
+def _screen(least: float, bands: int):
     """Members of one block pair -> one row with the pairs whose sketches allow the similarity."""
 
     def run(table: pa.Table) -> pa.Table:
         n = table.num_rows
         band, i, j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
         rep, comp, block = (table.column(c).to_numpy() for c in ("rep", "component", "block"))
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), _U).reshape(n, BANDS)
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), _U).reshape(n, bands)
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), _U).reshape(n, -1)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         xs, ys = [], []
@@ -218,13 +223,14 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     their own components. Rows that share an id are one document. Rows with a null
     id take no part: component null, kept.
     """
+    bands = bands_for(percent)
     docs = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    seen = written(docs.mapInArrow(_features(size), _FEATURES), "features")
+    seen = written(docs.mapInArrow(_features(size, bands), _FEATURES), "features")
     real = seen.filter("class is not null and doc_id is not null")
     reps = written(real.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
     # Band keys, eight bytes each, out of the binary column.
     key = lambda b: F.conv(F.hex(F.substring("keys", 8 * b + 1, 8)), 16, -10).cast("bigint")
-    members = reps.select("rep", F.posexplode(F.array(*[key(b) for b in range(BANDS)])).alias("band", "key"))
+    members = reps.select("rep", F.posexplode(F.array(*[key(b) for b in range(bands)])).alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("rep", "band").alias("h"), F.col("rep").alias("pivot"))).alias("p")).filter("m > 1")
     crowded = written(members.join(buckets.select("band", "key", "m", "p.pivot"), ["band", "key"]), "crowded")
     stars = crowded.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
@@ -240,7 +246,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     rows = placed.join(mixed, ["band", "key"], "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.join(reps.select("rep", "keys", "sketch"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "keys", "sketch")
-    open_pairs = written(rows.groupBy(*_BLOCK_KEY).applyInArrow(_screen(percent / 100 - SLACK), _PAIRS), "pairs")
+    open_pairs = written(rows.groupBy(*_BLOCK_KEY).applyInArrow(_screen(percent / 100 - SLACK, bands), _PAIRS), "pairs")
     wanted = open_pairs.select(*[F.col(c).alias(f"_{c}") for c in _BLOCK_KEY], F.explode(F.array_distinct(F.concat("xs", "ys"))).alias("rep")).join(sets, "rep")
     more = open_pairs.groupBy(*_BLOCK_KEY).cogroup(wanted.groupBy(*[f"_{c}" for c in _BLOCK_KEY])).applyInArrow(_settle(percent), "a bigint, b bigint")
     final = connected(links.union(written(more, "more_links")))
@@ -251,7 +257,13 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+#: Ids of dropped documents that every executor may hold, at 8 bytes each; beyond that the join is shuffled.
+BROADCAST_IDS = 4_000_000
+
+
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The input rows without all but the first document of every group, all columns kept."""
-    gone = near_duplicates(df, id_column, text, size, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = checkpoint(near_duplicates(df, id_column, text, size, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return df.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")

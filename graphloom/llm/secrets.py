@@ -142,8 +142,12 @@ def scan(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
-def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """Replaces every span by ``mask``; overlapping or touching spans become one mask. A text without spans, null included, stays as it is."""
+def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]", count: str | None = None) -> DataFrame:
+    """Replaces every span by ``mask``; overlapping or touching spans become one mask.
+
+    A text without spans, null included, stays as it is. ``count`` names a column
+    of text lengths to bring up to date where the text changes.
+    """
     columns = df.columns
     df = df.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
     df = with_secrets(df, "_text")
@@ -157,4 +161,7 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFra
 
     done = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.char_length("_text").cast("bigint"))))
     out = F.when(F.size(spans) == 0, F.col("_text")).otherwise(done)
-    return df.select(*[out.alias(c) if c == text else F.col("_row")[c].alias(c) for c in columns])
+    df = df.select("_row", F.size(spans).alias("_spans"), out.alias("_out"))
+    length = F.when(F.col("_spans") > 0, F.char_length("_out").cast("bigint"))
+    values = {text: F.col("_out")} | ({count: F.coalesce(length, F.col("_row")[count])} if count else {})
+    return df.select(*[values.get(c, F.col("_row")[c]).alias(c) for c in columns])
