@@ -36,12 +36,17 @@ _PARTS_SQL = "chunk bigint, bucket int, block binary, doc_ids array<bigint>, n_w
 _CODED_SQL = "chunk bigint, bucket int, block binary"
 
 
+def _pack(raw: bytes) -> bytes:
+    """Long windows, so that copies of a document within a chunk cost next to nothing."""
+    return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(9, window_log=25, enable_ldm=True)).compress(raw)
+
+
 def _squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays of unsigned integers as one compressed block, byte plane by byte plane."""
     planes = [np.array([len(arrays), *map(len, arrays)], "<u8").tobytes()]
     for a in arrays:
         planes.append(np.ascontiguousarray(a.astype("<u4").view("u1").reshape(-1, 4).T).tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
+    return _pack(b"".join(planes))
 
 
 def _expand(block: bytes) -> list[np.ndarray]:
@@ -104,16 +109,23 @@ def explode_words(pattern: str, buckets: int, chunk_chars: int):
                         found.append(at)
                     docs.append(b"".join(found))
                 spaced.clear()
-                coded = [w.encode() for w in words]
+                # Frequent words first: their indices have zero high bytes.
+                positions = np.frombuffer(b"".join(docs), "<u4")
+                by_use = np.argsort(-np.bincount(positions, minlength=len(words)), kind="stable")
+                rank = np.empty(len(words), "<u4")
+                rank[by_use] = np.arange(len(words))
+                listed = [w.encode() for w in words]
+                coded = [listed[k] for k in by_use]
+                positions = rank[positions]
                 bucket = np.fromiter((zlib.crc32(w) % buckets for w in coded), "<u4", len(coded))
-                rows = [(chunk, None, _squeeze(bucket, np.frombuffer(b"".join(docs), "<u4")), ids[first : first + len(texts)], [len(d) // 4 for d in docs])]
+                rows = [(chunk, None, _squeeze(bucket, positions), ids[first : first + len(texts)], [len(d) // 4 for d in docs])]
                 order = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in range(buckets):
                     if edges[b] < edges[b + 1]:
                         some = [coded[k] for k in order[edges[b] : edges[b + 1]]]
                         block = np.array([len(some), *map(len, some)], "<u4").tobytes() + b"".join(some)
-                        rows.append((chunk, b, zstandard.ZstdCompressor(level=3).compress(block), None, None))
+                        rows.append((chunk, b, _pack(block), None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PARTS, strict=True)], schema=_PARTS)
                 chunk += 1
 

@@ -16,9 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import checkpoint, written
 
 END = 0
+#: Of 20 bytes each; beyond that the numbering is a shuffled join.
+BROADCAST_ROWS = 500_000
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, task int, nth bigint"
 
 
@@ -32,9 +34,9 @@ def cut_documents(tokenizer_path: str, limit: int, end_id: int):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        from graphloom.llm.tokens import PieceEncoder, batches
+        from graphloom.llm.tokens import batches, shared_encoder
 
-        encoder, task, seen = PieceEncoder(tokenizer_path), TaskContext.get().partitionId(), Counter()
+        encoder, task, seen = shared_encoder(tokenizer_path), TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], dtype="<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("task", pa.int32()), ("nth", pa.int64())])
         for part in parts:
@@ -73,8 +75,11 @@ def pack(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text: st
     totals = pieces.groupBy("length").agg(F.count("*").alias("n"))
     # One row per power of two up to the limit.
     base = totals.withColumn("base", F.sum("n").over(Window.orderBy(F.desc("length"))) - F.col("n")).drop("n")
-    numbered = pieces.join(before.join(F.broadcast(base), "length"), ["length", "task"])
-    return numbered.select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("base") + F.col("before") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    firsts = checkpoint(before.join(F.broadcast(base), "length").select("length", "task", (F.col("base") + F.col("before")).alias("first")))
+    # Without a shuffle of ids while the table of firsts (a row per task and length) is small.
+    small = firsts.count() <= BROADCAST_ROWS
+    numbered = pieces.join(F.broadcast(firsts) if small else firsts, ["length", "task"])
+    return numbered.select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("first") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
 
 
 def op10_documents(documents: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -1,21 +1,25 @@
-"""Encoding of whole texts by a byte-level BPE tokenizer file, with a memo of space-separated pieces.
+"""Encoding of whole texts by a byte-level BPE tokenizer file, with a memo of words.
 
 In the split pattern of byte-level BPE a token boundary stands before every space
-that has no other white space both before and after it, so a text without such
-runs is the concatenation of its pieces' encodings. Pieces repeat, texts don't:
-only unseen pieces reach the tokenizer. Texts with runs of white space around a
-space are encoded whole.
+that has no other white space both before and after it, and on both sides of a
+line feed without white space around it. So a text without such runs is the
+concatenation of its pieces' encodings. Pieces repeat, texts don't: only unseen
+ones reach the tokenizer, and of letters with a closing mark only the letters.
+Texts with runs of white space around a space are encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
+from functools import cache
 
-import numpy as np
-
+#: White space next to white space: line feeds are not boundaries of their own.
+_PAIR = re.compile(r"\s\s")
 #: White space, a space, white space or the end: no boundary before that space.
 _RUN = re.compile(r"\s (?:\s|\Z)")
+_MARKS = frozenset(",.")
 
 
 def load_tokenizer(path: str):
@@ -36,9 +40,20 @@ class PieceEncoder:
         self.tokenizer, self.limit = load_tokenizer(path), memo
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.feed = self._ids(["\n"])[0]
+        self.marks = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, memo: dict[str, bytes], pieces: set[str], lead: str) -> None:
+        """Letters and a closing mark are two pre-tokens, so only the letters are encoded."""
+        new = pieces - memo.keys()
+        marked = [p for p in new if p[-1:] in _MARKS and p[:-1].isalpha()]
+        plain = list((new.difference(marked) | {p[:-1] for p in marked}) - memo.keys())
+        memo.update(zip(plain, self._ids([lead + p for p in plain]), strict=True))
+        for p in marked:
+            memo[p] = memo[p[:-1]] + self.marks[p[-1]]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Per text its ids; null is the empty text."""
@@ -47,22 +62,35 @@ class PieceEncoder:
             self.first.clear()
             self.rest.clear()
         out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if _RUN.search(t)]
+        odd, parts, first, rest = [], [], set(), set()
+        for i, t in enumerate(texts):
+            if not _PAIR.search(t):
+                lines = [line.split(" ") for line in t.split("\n")]
+            elif not _RUN.search(t):
+                lines = [t.split(" ")]
+            else:
+                odd.append(i)
+                continue
+            parts.append((i, lines))
+            for line in lines:
+                first.add(line[0])
+                rest.update(line[1:])
         for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
             out[i] = ids
-        parts = [(i, t.split(" ")) for i, t in enumerate(texts) if out[i] is None]
-        first, rest = {p[0] for _, p in parts} - self.first.keys(), set()
-        for _, p in parts:
-            rest.update(p[1:])
-        rest -= self.rest.keys()
-        for memo, new, lead in ((self.first, list(first), ""), (self.rest, list(rest), " ")):
-            memo.update(zip(new, self._ids([lead + p for p in new]), strict=True))
-        look = self.rest.__getitem__
-        for i, p in parts:
-            out[i] = self.first[p[0]] + b"".join(map(look, p[1:]))
+        self._learn(self.first, first, "")
+        self._learn(self.rest, rest, " ")
+        head, look = self.first, self.rest.__getitem__
+        for i, lines in parts:
+            out[i] = self.feed.join([head[line[0]] + b"".join(map(look, line[1:])) for line in lines])
         return out
 
 
+@cache
+def shared_encoder(path: str) -> PieceEncoder:
+    """One per worker process, so that the memo outlives a task."""
+    return PieceEncoder(path)
+
+
 def batches(column: Iterable[str | None], size: int = 4_000_000) -> Iterable[tuple[int, list[str | None]]]:
     """(first index, texts) of about so many characters each, so that memory follows the texts and not the row count."""
     start, held, total = 0, [], 0
