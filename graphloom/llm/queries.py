@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, licenses, neardup, packing, pii, quality, secrets, sharding
+from graphloom.llm import bpe, licenses, neardup, packing, pii, quality, secrets, sharding, tokenfile
 from graphloom.llm.common import read_table
 
 
@@ -17,6 +17,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixed_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.op1_documents(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_rule_ledger": op2_rule_ledger, "op3_distinct_word_bpe": op3_distinct_word_bpe, "op4_boosted_pii": op4_boosted_pii, "op5_markov_secrets": op5_markov_secrets, "op7_odd_sketch_neardup": op7_odd_sketch_neardup, "op8_ring_shards": op8_ring_shards, "op9_rare_token_licenses": op9_rare_token_licenses, "op10_binary_packing": op10_binary_packing}
+    return {"op1_mixed_range_coder": op1_mixed_range_coder, "op2_rule_ledger": op2_rule_ledger, "op3_distinct_word_bpe": op3_distinct_word_bpe, "op4_boosted_pii": op4_boosted_pii, "op5_markov_secrets": op5_markov_secrets, "op7_odd_sketch_neardup": op7_odd_sketch_neardup, "op8_ring_shards": op8_ring_shards, "op9_rare_token_licenses": op9_rare_token_licenses, "op10_binary_packing": op10_binary_packing}
 
 
 def oracle_sql() -> dict[str, str]:
