@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, licenses, neardup, packing, pii, quality, secrets, sharding, tokenfile
+from graphloom.llm import ann, bpe, licenses, neardup, packing, pii, quality, secrets, sharding, tokenfile
 from graphloom.llm.common import read_table
 
 
@@ -39,6 +39,10 @@ def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -56,7 +60,7 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixed_range_coder": op1_mixed_range_coder, "op2_rule_ledger": op2_rule_ledger, "op3_distinct_word_bpe": op3_distinct_word_bpe, "op4_boosted_pii": op4_boosted_pii, "op5_markov_secrets": op5_markov_secrets, "op7_odd_sketch_neardup": op7_odd_sketch_neardup, "op8_ring_shards": op8_ring_shards, "op9_rare_token_licenses": op9_rare_token_licenses, "op10_binary_packing": op10_binary_packing}
+    return {"op1_mixed_range_coder": op1_mixed_range_coder, "op2_rule_ledger": op2_rule_ledger, "op3_distinct_word_bpe": op3_distinct_word_bpe, "op4_boosted_pii": op4_boosted_pii, "op5_markov_secrets": op5_markov_secrets, "op6_nn_descent": op6_nn_descent, "op7_odd_sketch_neardup": op7_odd_sketch_neardup, "op8_ring_shards": op8_ring_shards, "op9_rare_token_licenses": op9_rare_token_licenses, "op10_binary_packing": op10_binary_packing}
 
 
 def oracle_sql() -> dict[str, str]:
