@@ -249,8 +249,14 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     open_pairs = written(rows.groupBy(*_BLOCK_KEY).applyInArrow(_screen(percent / 100 - SLACK, bands), _PAIRS), "pairs")
     wanted = open_pairs.select(*[F.col(c).alias(f"_{c}") for c in _BLOCK_KEY], F.explode(F.array_distinct(F.concat("xs", "ys"))).alias("rep")).join(sets, "rep")
     more = open_pairs.groupBy(*_BLOCK_KEY).cogroup(wanted.groupBy(*[f"_{c}" for c in _BLOCK_KEY])).applyInArrow(_settle(percent), "a bigint, b bigint")
-    final = connected(links.union(written(more, "more_links")))
-    home = reps.select("class", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
+    # Only what joins first components is left to connect; their members follow.
+    label = lambda side: F.coalesce(F.col(f"{side}_c"), F.col(side))
+    lifted = written(more, "more_links")
+    for side in ("a", "b"):
+        lifted = lifted.join(first.select(F.col("id").alias(f"{side}_id"), F.col("component").alias(f"{side}_c")), F.col(side) == F.col(f"{side}_id"), "left")
+    second = connected(lifted.select(label("a").alias("a"), label("b").alias("b"))).select(F.col("id").alias("own"), F.col("component").alias("joined"))
+    home = reps.select("class", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("own", F.coalesce("component", "rep"))
+    home = home.join(second, "own", "left").select("class", F.coalesce("joined", "own").alias("component_id"))
     # Copies follow their class; the class of a hot group is split by adaptive execution.
     out = seen.select("doc_id", "n_shingles", "class").join(home, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
