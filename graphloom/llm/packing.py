@@ -41,7 +41,7 @@ def cut_documents(tokenizer_path: str, limit: int, end_id: int):
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("task", pa.int32()), ("nth", pa.int64())])
         for part in parts:
             ids = part.column(0).to_pylist()
-            for first, texts in batches(part.column(1).to_pylist()):
+            for first, texts in batches(t.as_py() for t in part.column(1)):
                 rows = ([], [], [], [], [], [], [])
                 for doc_id, coded in zip(ids[first : first + len(texts)], encoder.encode(texts), strict=True):
                     coded += end

@@ -96,7 +96,7 @@ def encode_documents(tokenizer_path: str, end_id: int, frame_chars: int):
 
         names, texts, total = [], [], 0
         for part in parts:
-            for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for name, text in zip(part.column(0).to_pylist(), (t.as_py() for t in part.column(1)), strict=True):
                 names.append(name)
                 texts.append(text)
                 total += len(text or "")

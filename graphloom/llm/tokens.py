@@ -44,7 +44,14 @@ class PieceEncoder:
         self.marks = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """In slices of about half a million characters: the library's own results take far more room than the ids."""
+        out, at, total = [], 0, 0
+        for k, text in enumerate(texts, 1):
+            total += len(text) + 16
+            if total >= 500_000 or k == len(texts):
+                out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at:k], add_special_tokens=False)]
+                at, total = k, 0
+        return out
 
     def _learn(self, memo: dict[str, bytes], pieces: set[str], lead: str) -> None:
         """Letters and a closing mark are two pre-tokens, so only the letters are encoded."""
@@ -91,7 +98,7 @@ def shared_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def batches(column: Iterable[str | None], size: int = 4_000_000) -> Iterable[tuple[int, list[str | None]]]:
+def batches(column: Iterable[str | None], size: int = 1_000_000) -> Iterable[tuple[int, list[str | None]]]:
     """(first index, texts) of about so many characters each, so that memory follows the texts and not the row count."""
     start, held, total = 0, [], 0
     for i, text in enumerate(column):
