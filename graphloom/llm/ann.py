@@ -34,6 +34,7 @@ BEAM, EXPAND, HOPS = 320, 40, 40
 #: Vectors whose lists are worked on in one group.
 GROUP = 2_000
 _STATE = "id bigint, near array<bigint>, far array<float>"
+_TOLD = "bucket int, owner array<bigint>, near array<bigint>, far array<float>"
 
 
 def usable(df: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -162,8 +163,21 @@ def _merge(k: int):
     return run
 
 
-def _meet(send: int):
-    """Members (v, id, raw, worst) that met at v -> for each member the nearest others that beat its worst."""
+def _improve(k: int):
+    """Lists of a bucket and what meetings told it -> its lists."""
+
+    def run(lists: pa.Table, told: pa.Table) -> pa.Table:
+        news = [told.column(c).combine_chunks().flatten().to_numpy() for c in ("owner", "near", "far")]
+        return _ragged(*best_lists(*(np.concatenate(pair) for pair in zip(_flat(lists), news, strict=True)), k))
+
+    return run
+
+
+def _meet(send: int, buckets: int):
+    """Members (v, id, raw, worst) that met at v -> the nearest others of a member that beat its worst.
+
+    One row per bucket of owners, however many owners it holds.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         v, ids, worst = (table.column(c).to_numpy() for c in ("v", "id", "worst"))
@@ -181,14 +195,25 @@ def _meet(send: int):
             far = np.take_along_axis(d, best, axis=1)
             p, q = np.nonzero(far < worst[a:b][:, None])
             out[0].append(ids[a + p]), out[1].append(ids[a + best[p, q]]), out[2].append(far[p, q])
-        owner, other, far = (np.concatenate(c) if c else np.zeros(0, kind) for c, kind in zip(out, (np.int64, np.int64, np.float32), strict=True))
-        return _ragged(*best_lists(owner, other, far, 1 << 30))
+        owner, other, far = best_lists(*(np.concatenate(c) if c else np.zeros(0, kind) for c, kind in zip(out, (np.int64, np.int64, np.float32), strict=True)), 1 << 30)
+        at = (owner ^ (owner >> 16)) % buckets
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+        edges = pa.array(np.append(starts, len(at)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(edges, pa.array(c[order], kind)) for c, kind in ((owner, pa.int64()), (other, pa.int64()), (far, pa.float32()))]
+        return pa.table([pa.array(at[starts], pa.int32()), *lists], names=["bucket", "owner", "near", "far"])
 
     return run
 
 
+def buckets_for(n: int) -> int:
+    return -(-n // GROUP) | 1
+
+
 def _bucket(column: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(max(1, -(-n // GROUP)))).cast("int")
+    """The same rule as in ``_meet``."""
+    return F.pmod(F.col(column).bitwiseXOR(F.shiftright(column, 16)), F.lit(buckets_for(n))).cast("int")
 
 
 def rounds_for(n: int, leaf: int = LEAF) -> int:
@@ -233,8 +258,8 @@ def build_graph(vectors: DataFrame, k: int = K, trees: int = TREES, leaf: int =
     for _ in range(0 if n <= leaf else rounds_for(n, leaf) if rounds is None else rounds):
         guests = vectors.select("id", "raw").join(graph.select("id", F.element_at("far", -1).alias("worst")), "id")
         met = both_ways(graph, k).join(guests, F.col("u") == F.col("id")).select("v", "id", "raw", "worst")
-        told = met.groupBy(_bucket("v", n)).applyInArrow(_meet(SEND), _STATE)
-        graph = written(graph.union(told).groupBy(_bucket("id", n)).applyInArrow(_merge(k), _STATE), "graph")
+        told = met.groupBy(_bucket("v", n)).applyInArrow(_meet(SEND, buckets_for(n)), _TOLD)
+        graph = written(graph.groupBy(_bucket("id", n)).cogroup(told.groupBy("bucket")).applyInArrow(_improve(k), _STATE), "graph")
     return graph
 
 
