@@ -16,11 +16,12 @@ indexed. Up to ``LEAF`` vectors the result is exact: one leaf holds them all.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import checkpoint, written
@@ -54,7 +55,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def _as_bytes():
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.array(v, "<f4").tobytes() for v in part.column(1).to_pylist()], pa.binary())], names=["id", "raw"])
+            exact = [np.array(v, "<f8") + 0.0 for v in part.column(1).to_pylist()]  # -0.0 equals 0.0
+            classes = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in exact]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(classes, pa.binary()), pa.array([v.astype("<f4").tobytes() for v in exact], pa.binary())], names=["id", "class", "raw"])
 
     return run
 
@@ -335,6 +338,14 @@ def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = K,
     return state.select("q", "near")
 
 
+def first_members(members: DataFrame, count: int) -> DataFrame:
+    """(class, ids): the ``count`` smallest ids of every class (id, class), smallest first."""
+    first = lambda ids: F.slice(F.sort_array(ids), 1, count)
+    # One of 64 salts holds a share of a large class; each share is cut to what the class can need of it.
+    salted = members.groupBy("class", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(first(F.collect_list("id")).alias("ids"))
+    return salted.groupBy("class").agg(first(F.flatten(F.collect_list("ids"))).alias("ids"))
+
+
 def nearest(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", every: int = 100, count: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``, against all other rows.
 
@@ -343,14 +354,24 @@ def nearest(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding",
     lengths raise an error, as no distance is defined. An empty table gives no rows.
     """
     rows = written(usable(df, id_column, vector), "vectors")
-    raw = written(rows.mapInArrow(_as_bytes(), "id bigint, raw binary"), "raw")
-    graph = build_graph(raw)
-    queries = raw.filter(F.col("id") % every == 0).select(F.col("id").alias("q"), "raw")
-    found = search(graph, raw, queries)
+    raw = written(rows.mapInArrow(_as_bytes(), "id bigint, class binary, raw binary"), "raw")
+    # One more than a query needs, as it may be one of them.
+    classes = written(first_members(raw.select("id", "class"), count + 1).select("class", F.element_at("ids", 1).alias("rep"), "ids"), "classes")
+    single = written(raw.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "raw"), "representatives")
+    graph = build_graph(single)
+    queries = raw.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "class")
+    asked = written(classes.join(queries.select("class").distinct(), "class", "left_semi"), "asked")
+    # A class of more than ``count`` members answers its queries alone.
+    short = asked.filter(F.size("ids") <= count).select(F.col("rep").alias("q"))
+    found = search(graph, single, single.join(short, F.col("id") == F.col("q"), "left_semi").select(F.col("id").alias("q"), "raw"))
     # Scores of the best few are taken again, exactly.
     pairs = found.select("q", F.explode(F.slice("near", 1, 4 * count)).alias("id"))
     ends = pairs.join(rows, "id").join(rows.select(F.col("id").alias("q"), F.col("vec").alias("own")), "q")
     score = F.sqrt(F.aggregate(F.zip_with("vec", "own", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    scored = ends.select("q", "id", score.alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= count).select(F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+    scored = ends.select("q", "id", score.alias("score")).join(classes.select(F.col("rep").alias("id"), "ids"), "id")
+    as_found = lambda score: F.transform("ids", lambda x: F.struct(score.alias("score"), x.alias("id")))
+    others = scored.select("q", as_found(F.col("score")).alias("x")).groupBy("q").agg(F.flatten(F.collect_list("x")).alias("others"))
+    best = asked.join(others, F.col("rep") == F.col("q"), "left").select("class", F.concat(as_found(F.lit(0.0)), F.coalesce("others", F.array())).alias("x"))
+    best = best.select("class", F.slice(F.sort_array("x"), 1, count + 1).alias("x"))
+    answers = queries.join(best, "class").select("query_id", F.posexplode(F.slice(F.filter("x", lambda x: x["id"] != F.col("query_id")), 1, count)).alias("at", "x"))
+    return answers.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -252,6 +252,23 @@ def test_ann_recall(spark):
     assert len(found) == 150 and hits >= 0.9 * 150
 
 
+def test_ann_settles_ties_among_copies(spark):
+    g = np.random.default_rng(4)
+    x = g.standard_normal((5000, 8)).astype(np.float32)
+    x[1000:4400] = x[1000]  # a large group of equal vectors, and one smaller than a result
+    x[[7, 100, 4990]] = x[7]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = {}
+    for r in ann.nearest(df).collect():
+        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert sorted(found) == list(range(0, 5000, 100)) and all(sorted(r) == list(range(1, 11)) for r in found.values())
+    for q in range(1000, 4400, 100):
+        want = [i for i in range(1000, 1012) if i != q][:10]
+        assert [found[q][k] for k in range(1, 11)] == [(i, 0.0) for i in want]
+    own = [(v, i) for v, i in brute(list(range(5000)), x.astype(float), 100)]
+    assert [found[100][k][0] for k in range(1, 11)] == [i for _, i in own]
+
+
 # 7 ------------------------------------------------------------------------
 
 
