@@ -303,6 +303,20 @@ def test_near_duplicates(spark, none):
     assert neardup.keep_one(df).columns == ["doc_id", "text"]
 
 
+def test_sketch_filter_misses_no_more_than_the_bands():
+    bits, n = neardup.SKETCH_BITS, neardup.VALUES
+    k = np.arange(bits + 1)
+    odd = [np.eye(1, bits + 1)[0]]  # how many bits an odd number of throws hit, by throws
+    for _ in range(2 * n):
+        p = np.zeros(bits + 1)
+        p[1:] += odd[-1][:-1] * (1 - k[:-1] / bits)
+        p[:-1] += odd[-1][1:] * k[1:] / bits
+        odd.append(p)
+    for least in (0.80, 0.85):
+        dropped = neardup.estimate(k) < least - neardup.SLACK
+        assert sum(math.comb(n, d) * (1 - least) ** d * least ** (n - d) * odd[2 * d][dropped].sum() for d in range(n + 1)) < 1.1e-6
+
+
 # 8 ------------------------------------------------------------------------
 
 
