@@ -34,6 +34,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def put_file(spark: SparkSession, name: str, content: bytes) -> str:
+    """Writes a small file into a folder of its own below the shared one."""
+    path = f"{scratch_path(spark, 'file')}/{name}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(jpath, True)
+    out.write(content)
+    out.close()
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Materialise a large table as compressed Parquet in the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)

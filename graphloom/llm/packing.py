@@ -11,12 +11,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import checkpoint, written
+from graphloom.llm.tokens import binary_column, shared_encoder, slices
 
 END = 0
 #: Of 20 bytes each; beyond that the numbering is a shuffled join.
@@ -24,35 +26,36 @@ BROADCAST_ROWS = 500_000
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, task int, nth bigint"
 
 
-def lengths_of(n: int, limit: int) -> list[int]:
-    """Piece lengths of n ids, in order: as many of ``limit`` as fit, then the binary digits of the rest."""
-    rest = n % limit
-    return [limit] * (n // limit) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def pieces_of(n: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document's index, length) of the pieces of documents of n ids, in order: as many of ``limit`` as fit, then the binary digits of the rest."""
+    every, whole, rest = np.arange(len(n)), n // limit, n % limit
+    bits = np.arange(limit.bit_length() - 2, -1, -1)
+    # Row by row, so a document's digits stand together, the highest first.
+    owner, bit = np.nonzero(rest[:, None] >> bits & 1)
+    doc = np.concatenate([np.repeat(every, whole), owner])
+    length = np.concatenate([np.full(int(whole.sum()), limit, np.int64), np.int64(1) << bits[bit]])
+    order = np.argsort(doc, kind="stable")
+    return doc[order], length[order]
 
 
 def cut_documents(tokenizer_path: str, limit: int, end_id: int):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        from graphloom.llm.tokens import batches, shared_encoder
-
         encoder, task, seen = shared_encoder(tokenizer_path), TaskContext.get().partitionId(), Counter()
-        end = np.array([end_id], dtype="<u4").tobytes()
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("task", pa.int32()), ("nth", pa.int64())])
         for part in parts:
-            ids = part.column(0).to_pylist()
-            for first, texts in batches(t.as_py() for t in part.column(1)):
-                rows = ([], [], [], [], [], [], [])
-                for doc_id, coded in zip(ids[first : first + len(texts)], encoder.encode(texts), strict=True):
-                    coded += end
-                    n, start = len(coded) // 4, 0
-                    for length in lengths_of(n, limit):
-                        row = (doc_id, start, length, n, coded[4 * start : 4 * (start + length)], task, seen[length])
-                        for column, value in zip(rows, row, strict=True):
-                            column.append(value)
-                        seen[length] += 1
-                        start += length
-                yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, schema, strict=True)], schema=schema)
+            names, texts = part.column(0), part.column(1)
+            for at, to in slices(texts):
+                ids, n = encoder.encode_ending(texts.slice(at, to - at), end_id)
+                doc, length = pieces_of(n, limit)
+                ends = np.cumsum(length)
+                nth = np.empty(len(length), np.int64)
+                for value, count in zip(*np.unique(length, return_counts=True), strict=True):
+                    nth[length == value] = np.arange(seen[value], seen[value] + count)
+                    seen[value] += count
+                columns = {
+                    "doc_id": names.slice(at, to - at).take(pa.array(doc)), "start": pa.array(ends - length - (np.cumsum(n) - n)[doc]), "length": pa.array(length), "doc_tokens": pa.array(n[doc]),
+                    "ids": binary_column(ids, ends), "task": pa.array(np.full(len(doc), task, np.int32)), "nth": pa.array(nth),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 

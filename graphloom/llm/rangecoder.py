@@ -1,239 +1,55 @@
-"""Adaptive context-mixing range coder for token ids.
+"""The range coder of ``TokenCoder.java`` as functions of Spark columns.
 
-Ids are cut into blocks; each block starts from a fresh model and has a checksum,
-so any block can be decoded alone. Three predictors look at an id's past: order 2
-(the id that followed the last two ids), order 1 (the last id) and order 0 (how
-often ids came so far, nibble by nibble). Their distributions are mixed with
-weights that adapt per pair of confidences, and the mixture drives a carrying
-64-bit range coder that emits 32-bit words.
-
-A block is sequential by nature, so blocks are coded side by side: step t codes
-id t of every block ("lane") with numpy, in the encoder and the decoder alike.
+A coder takes one decision after the other, which neither DataFrame functions nor numpy can do
+at speed, so it is a small Java class. Spark's own compiler of generated code (Janino) compiles
+it on the driver when first needed; the class goes to the executors as a jar. No build step,
+no compiler on the machines.
 """
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-
-#: Ids of a block, and blocks coded side by side: both bound the memory of a task.
-BLOCK, LANES = 8192, 1024
-#: Slots of the order-2 and order-1 tables, as powers of two.
-BITS2, BITS1 = 13, 12
-TOTAL_BITS, RATE, CONFIDENCE = 15, 4, 7
-TOTAL, FLOOR = 1 << TOTAL_BITS, 64
-IDS = 1 << 16
-_U64, _U32 = np.uint64, np.uint32
-_WORD, _LOW = _U64(32), _U64((1 << 32) - 1)
-
-
-class Model:
-    """The predictors of all lanes. ``predict``, then ``update`` with the ids that came."""
-
-    def __init__(self, lanes: int):
-        self.lanes = lanes
-        self.two = np.zeros(lanes << BITS2, np.uint32)  # id << 3 | confidence
-        self.one = np.zeros(lanes << BITS1, np.uint32)
-        states = (CONFIDENCE + 1) ** 2
-        self.weight2 = np.full(lanes * states, TOTAL // 4, np.int32)
-        self.weight1 = np.full(lanes * states, TOTAL // 4, np.int32)
-        lane = np.arange(lanes, dtype=np.int64)
-        self.base2, self.base1, self.base_w = lane << BITS2, lane << BITS1, lane * states
-        even = np.arange(17) * (TOTAL // 16)
-        #: Cumulative frequencies of a nibble: the first, the second after it, the third after both.
-        self.levels = [np.tile(even.astype(np.int16), (lanes * n, 1)) for n in (1, 16, 256)]
-        self.last = self.before = np.zeros(lanes, np.int64)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of order 2 and order 1, and the ends of their intervals; what is above belongs to order 0."""
-        self.at2 = self.base2 + ((self.last * 0x9E3779B1 + self.before * 0x85EBCA6B >> 15) & ((1 << BITS2) - 1))
-        self.at1 = self.base1 + ((self.last * 0x9E3779B1 >> 13) & ((1 << BITS1) - 1))
-        self.slot2, self.slot1 = self.two[self.at2], self.one[self.at1]
-        self.id2, self.id1 = self.slot2 >> 3, self.slot1 >> 3
-        self.at_w = self.base_w + ((self.slot2 & 7) << 3 | (self.slot1 & 7))
-        self.w2, self.w1 = self.weight2[self.at_w], self.weight1[self.at_w]
-        both = self.w2 + self.w1
-        return self.id2, self.id1, np.where(self.id1 == self.id2, both, self.w2), both
-
-    def update(self, ids: np.ndarray) -> None:
-        hit2, hit1 = self.id2 == ids, self.id1 == ids
-        shared = hit2 & hit1
-        top, half = TOTAL - 3 * FLOOR, TOTAL // 2 - FLOOR
-        self.weight2[self.at_w] = self.w2 + (np.where(shared, half, np.where(hit2, top, FLOOR)) - self.w2 >> RATE)
-        self.weight1[self.at_w] = self.w1 + (np.where(shared, half, np.where(hit1, top, FLOOR)) - self.w1 >> RATE)
-        fresh = ids << 3
-        for table, at, slot, hit in ((self.two, self.at2, self.slot2, hit2), (self.one, self.at1, self.slot1, hit1)):
-            sure = slot & 7
-            # A miss halves the confidence; without any the new id takes the slot.
-            missed = np.where(sure > 1, slot - (sure + 1 >> 1), fresh)
-            table[at] = np.where(hit, slot + (sure < CONFIDENCE), missed)
-        self.before, self.last = self.last, ids.astype(np.int64)
-
-    def nibbles(self, lanes: np.ndarray, level: int, node: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and cumulative frequencies of one level for some lanes."""
-        rows = lanes * (1, 16, 256)[level] + node
-        return rows, self.levels[level][rows]
-
-    def learn(self, level: int, rows: np.ndarray, table: np.ndarray, nibble: np.ndarray) -> None:
-        self.levels[level][rows] = table + (_STEPS[nibble] - table >> RATE)
-
-
-def _steps() -> np.ndarray:
-    """Where the cumulative frequencies go when a nibble came: every other one keeps a floor."""
-    least = 32
-    freq = np.full((16, 16), least) + np.eye(16, dtype=np.int64) * (TOTAL - 1 - 16 * least)
-    return np.concatenate([np.zeros((16, 1)), np.cumsum(freq, axis=1)], axis=1).astype(np.int16)
-
-
-_STEPS = _steps()
-
-
-def _interval(table: np.ndarray, nibble: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size; the last cumulative frequency counts as the total."""
-    k = np.arange(len(nibble))
-    low = table[k, nibble].astype(np.int64)
-    high = np.where(nibble == 15, TOTAL, table[k, nibble + 1].astype(np.int64))
-    return low, high - low
-
-
-class _Writer:
-    def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, _U64), np.full(lanes, (1 << 64) - 1, _U64)
-        self.words, self.count = np.zeros((lanes, room), _U32), np.zeros(lanes, np.int64)
-
-    def put(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
-        unit = self.range[lanes] >> _U64(TOTAL_BITS)
-        old = self.low[lanes]
-        low, width = old + unit * start.astype(_U64), unit * size.astype(_U64)
-        every = np.arange(len(self.low)) if isinstance(lanes, slice) else lanes
-        if (over := low < old).any():  # carry into words already written
-            at, place = every[over], self.count[every[over]] - 1
-            while len(at):
-                self.words[at, place] += _U32(1)
-                more = self.words[at, place] == 0
-                at, place = at[more], place[more] - 1
-        short = np.flatnonzero(width <= _LOW)
-        if len(short):
-            at = every[short]
-            self.words[at, self.count[at]] = low[short] >> _WORD
-            self.count[at] += 1
-            low[short] <<= _WORD
-            width[short] <<= _WORD
-        self.low[lanes], self.range[lanes] = low, width
-
-    def finish(self) -> list[bytes]:
-        for shift in (_WORD, _U64(0)):
-            self.words[np.arange(len(self.low)), self.count] = (self.low >> shift) & _LOW
-            self.count += 1
-        return [self.words[k, :n].astype("<u4").tobytes() for k, n in enumerate(self.count)]
-
-
-class _Reader:
-    def __init__(self, blocks: list[bytes]):
-        longest = max(map(len, blocks)) // 4 + 1
-        self.words = np.zeros((len(blocks), longest), _U64)
-        for k, b in enumerate(blocks):
-            self.words[k, : len(b) // 4] = np.frombuffer(b, "<u4")
-        self.code = self.words[:, 0] << _WORD | self.words[:, 1]
-        self.count, self.range = np.full(len(blocks), 2), np.full(len(blocks), (1 << 64) - 1, _U64)
-
-    def seek(self, lanes: np.ndarray | slice) -> np.ndarray:
-        self.unit = self.range[lanes] >> _U64(TOTAL_BITS)
-        return np.minimum(self.code[lanes] // self.unit, _U64(TOTAL - 1)).astype(np.int64)
-
-    def take(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
-        code, width = self.code[lanes] - self.unit * start.astype(_U64), self.unit * size.astype(_U64)
-        short = np.flatnonzero(width <= _LOW)
-        if len(short):
-            at = short if isinstance(lanes, slice) else lanes[short]
-            code[short] = code[short] << _WORD | self.words[at, np.minimum(self.count[at], self.words.shape[1] - 1)]
-            self.count[at] += 1
-            width[short] <<= _WORD
-        self.code[lanes], self.range[lanes] = code, width
-
-
-_ALL = slice(None)
-
-
-def _code_lanes(ids: np.ndarray) -> list[bytes]:
-    """ids: (lanes, steps)."""
-    lanes, steps = ids.shape
-    model, out = Model(lanes), _Writer(lanes, steps * 3 // 2 + 8)
-    by_step = np.ascontiguousarray(ids.T).astype(np.uint32)
-    for x in by_step:
-        id2, id1, end2, end1 = model.predict()
-        is2 = id2 == x
-        is1 = (id1 == x) & ~is2
-        start = np.where(is2, 0, np.where(is1, end2, end1))
-        out.put(_ALL, start, np.where(is2, end2, np.where(is1, end1 - end2, TOTAL - end1)))
-        rest = np.flatnonzero(~(is2 | is1))
-        if len(rest):
-            y = x[rest].astype(np.int64)
-            for level, node, nibble in ((0, 0, y >> 12), (1, y >> 12, (y >> 8) & 15), (2, y >> 8, (y >> 4) & 15)):
-                rows, table = model.nibbles(rest, level, node)
-                out.put(rest, *_interval(table, nibble))
-                model.learn(level, rows, table, nibble)
-            out.put(rest, (y & 15) << (TOTAL_BITS - 4), np.full(len(rest), TOTAL // 16))
-        model.update(x)
-    return out.finish()
-
-
-def _read_lanes(blocks: list[bytes], steps: int) -> np.ndarray:
-    lanes = len(blocks)
-    model, source = Model(lanes), _Reader(blocks)
-    out = np.empty((steps, lanes), np.uint16)
-    for t in range(steps):
-        id2, id1, end2, end1 = model.predict()
-        v = source.seek(_ALL)
-        is2 = v < end2
-        is1 = (v < end1) & ~is2
-        start = np.where(is2, 0, np.where(is1, end2, end1))
-        source.take(_ALL, start, np.where(is2, end2, np.where(is1, end1 - end2, TOTAL - end1)))
-        x = np.where(is2, id2, id1)
-        rest = np.flatnonzero(~(is2 | is1))
-        if len(rest):
-            y = np.zeros(len(rest), np.int64)
-            for level in range(3):
-                rows, table = model.nibbles(rest, level, y)
-                nibble = (table[:, 1:16] <= source.seek(rest)[:, None]).sum(axis=1)
-                source.take(rest, *_interval(table, nibble))
-                model.learn(level, rows, table, nibble)
-                y = y << 4 | nibble
-            nibble = source.seek(rest) >> (TOTAL_BITS - 4)
-            source.take(rest, nibble << (TOTAL_BITS - 4), np.full(len(rest), TOTAL // 16))
-            x[rest] = y << 4 | nibble
-        model.update(x)
-        out[t] = x
-    return out.T
-
-
-def encode_ids(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> list[tuple[int, int, bytes]]:
-    """(ids, crc32 of the ids as little-endian unsigned 32-bit integers, payload) per block. Ids must be below 65,536."""
-    if len(ids) and int(ids.max()) >= IDS:
-        raise ValueError("ids must be below 65536")
-    out = []
-    for at in range(0, len(ids), block * lanes):
-        some = ids[at : at + block * lanes]
-        n = -(-len(some) // block)
-        width = min(block, len(some))
-        padded = np.zeros(n * width, np.uint32)
-        padded[: len(some)] = some
-        for k, payload in enumerate(_code_lanes(padded.reshape(n, width))):
-            own = np.ascontiguousarray(some[k * width : (k + 1) * width], "<u4")
-            out.append((len(own), zlib.crc32(own.tobytes()), payload))
-    return out
-
-
-def decode_ids(blocks: list[tuple[int, int, bytes]], lanes: int = LANES) -> np.ndarray:
-    """The ids of whole blocks. A block whose checksum doesn't hold raises ValueError."""
-    out = []
-    for at in range(0, len(blocks), lanes):
-        some = blocks[at : at + lanes]
-        read = _read_lanes([b for _, _, b in some], max(n for n, _, _ in some))
-        for k, (n, crc, _) in enumerate(some):
-            own = np.ascontiguousarray(read[k, :n]).astype("<u4")
-            if zlib.crc32(own.tobytes()) != crc:
-                raise ValueError(f"block {at + k}: checksum mismatch")
-            out.append(own)
-    return np.concatenate(out) if out else np.zeros(0, "<u4")
+import io
+import zipfile
+from importlib.resources import files
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm.common import put_file
+
+_CLASS = "graphloom.TokenCoder"
+_loaded: dict[str, object] = {}
+
+
+def _functions(spark: SparkSession) -> None:
+    """Compiles and ships the class once per application, and names its functions in the session."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    loader = _loaded.get(sc.applicationId)
+    if loader is None:
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.setParentClassLoader(jvm.Thread.currentThread().getContextClassLoader())
+        compiler.cook(files("graphloom.llm").joinpath("TokenCoder.java").read_text())
+        jar, classes = io.BytesIO(), compiler.getBytecodes()
+        with zipfile.ZipFile(jar, "w") as out:
+            for name in classes.keySet():
+                out.writestr(name.replace(".", "/") + ".class", bytes(classes.get(name)))
+        sc._jsc.addJar(put_file(spark, "token-coder.jar", jar.getvalue()))
+        loader = compiler.getClassLoader()
+        _loaded.clear()
+        _loaded[sc.applicationId] = loader
+    binary = spark._jvm.org.apache.spark.sql.types.DataType.fromDDL("binary")
+    for name in ("Encode", "Decode"):
+        made = loader.loadClass(f"{_CLASS}${name}").getDeclaredConstructor(sc._gateway.new_array(jvm.Class, 0)).newInstance(sc._gateway.new_array(jvm.Object, 0))
+        spark._jsparkSession.udf().register(f"graphloom_{name.lower()}_ids", made, binary)
+
+
+def encode_ids(spark: SparkSession, ids: str) -> Column:
+    """Ids below 65,536 as little-endian unsigned 32-bit integers -> payload of checksummed blocks; null stays null."""
+    _functions(spark)
+    return F.call_function("graphloom_encode_ids", F.col(ids))
+
+
+def decode_ids(spark: SparkSession, payload: str) -> Column:
+    """Payload -> ids; damage fails the query."""
+    _functions(spark)
+    return F.call_function("graphloom_decode_ids", F.col(payload))

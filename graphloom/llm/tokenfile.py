@@ -1,9 +1,9 @@
 """Token-id files: documents in ascending id order, range-coded blocks, read back with checks.
 
 A file holds frames, each followed by a mark. A frame is one batch of whole
-documents: a header, the table of documents (id, number of ids), the table of
-blocks (ids, payload bytes, checksum) and the payloads of ``rangecoder``. Each
-frame can be read alone, and so can each block. Files are written by Spark's
+documents: a header, the table of documents (id, number of ids) and the payload of
+``TokenCoder``: blocks that can each be decoded alone. Frames are cut by characters
+and files by frames, so neither grows with the data. Files are written by Spark's
 committer, so a lost or repeated task leaves no half file, and they are found and
 read by Spark's readers, wherever the folder lies.
 """
@@ -21,95 +21,83 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import scratch_path, written
+from graphloom.llm.rangecoder import decode_ids, encode_ids
+from graphloom.llm.tokens import binary_column, shared_encoder, slices
 
-MAGIC, MARK = b"GLTOKEN1", "\n--frame--\n"
-#: Magic, shard, frame, documents, blocks, bytes and checksum of the tables.
+MAGIC, MARK = b"GLTOKEN2", "\n--frame--\n"
+#: Magic, shard, frame, documents, ids before it in its shard, bytes and checksum of the table.
 HEADER = struct.Struct("<8sIIQQQI")
 END = 2
-#: Characters of text per frame; a longer document is a frame of its own.
-FRAME = 24_000_000
+#: Bytes of text per frame, a longer document is a frame of its own; frames per file.
+FRAME, FRAMES = 10_000_000, 16
+_FRAME_SQL = "head binary, ids binary"
 
 
-def write_frame(shard: int, number: int, doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """One frame; a null document id has a flag of its own."""
-    from graphloom.llm.rangecoder import encode_ids
-
-    blocks = encode_ids(ids)
+def head_of(shard: int, number: int, before: int, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
+    """Header and table of a frame; a null document id has a flag of its own."""
     null = np.array([d is None for d in doc_ids], "u1")
-    tables = zlib.compress(b"".join([
-        null.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<u8").tobytes(),
-        *(np.array(column, "<u4").tobytes() for column in ([n for n, _, _ in blocks], [len(p) for _, _, p in blocks], [c for _, c, _ in blocks])),
-    ]))
-    head = HEADER.pack(MAGIC, shard, number, len(doc_ids), len(blocks), len(tables), zlib.crc32(tables))
-    return b"".join([head, tables, *(p for _, _, p in blocks)])
+    table = zlib.compress(b"".join([null.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), lengths.astype("<u8").tobytes()]))
+    return HEADER.pack(MAGIC, shard, number, len(doc_ids), before, len(table), zlib.crc32(table)) + table
+
 
+def table_of(head: bytes) -> tuple[int, int, int, list[int | None], np.ndarray]:
+    """(shard, frame, ids before it, document ids, lengths); damage raises ValueError."""
+    _, shard, number, n, before, _, crc = HEADER.unpack_from(head)
+    if zlib.crc32(packed := head[HEADER.size :]) != crc:
+        raise ValueError("damaged table")
+    raw = zlib.decompress(packed)
+    null, docs, lengths = np.frombuffer(raw, "u1", n), np.frombuffer(raw, "<i8", n, n), np.frombuffer(raw, "<u8", n, 9 * n)
+    return shard, number, before, [None if k else d for k, d in zip(null.tolist(), docs.tolist(), strict=True)], lengths.astype(np.int64)
 
-def read_frames(content: bytes | memoryview) -> Iterator[tuple[int, int, list[int | None], np.ndarray, np.ndarray]]:
-    """(shard, frame, document ids, lengths, ids) of each frame of a file; damage raises ValueError."""
-    from graphloom.llm.rangecoder import decode_ids
 
+def frames_of(content: bytes | memoryview) -> Iterator[tuple[bytes, bytes]]:
+    """(header with table, payload) of each frame of a file; damage raises ValueError."""
     view, at, mark = memoryview(content), 0, MARK.encode()
     while at < len(view):
         if len(view) - at < HEADER.size:
             raise ValueError("truncated frame")
-        magic, shard, number, n_docs, n_blocks, size, crc = HEADER.unpack_from(view, at)
+        magic, *_, size, _ = HEADER.unpack_from(view, at)
         if magic != MAGIC:
             raise ValueError("not a token file")
-        at += HEADER.size
-        packed = view[at : at + size]
-        if len(packed) != size or zlib.crc32(packed) != crc:
-            raise ValueError("damaged tables")
-        at += size
-        raw = zlib.decompress(packed)
-        null = np.frombuffer(raw, "u1", n_docs)
-        docs = np.frombuffer(raw, "<i8", n_docs, n_docs)
-        lengths = np.frombuffer(raw, "<u8", n_docs, 9 * n_docs)
-        counts, sizes, sums = (np.frombuffer(raw, "<u4", n_blocks, 17 * n_docs + 4 * k * n_blocks).tolist() for k in range(3))
-        blocks = []
-        for n, length, c in zip(counts, sizes, sums, strict=True):
-            blocks.append((n, c, bytes(view[at : at + length])))
-            at += length
-        ids = decode_ids(blocks)
-        if len(ids) != int(lengths.sum()) or bytes(view[at : at + len(mark)]) != mark:
+        body = at + HEADER.size + size
+        if len(view) - body < 4:
+            raise ValueError("truncated frame")
+        end = body + int.from_bytes(view[body : body + 4], "little")
+        if end <= body or bytes(view[end : end + len(mark)]) != mark:
             raise ValueError("damaged frame")
-        at += len(mark)
-        yield shard, number, [None if k else d for k, d in zip(null.tolist(), docs.tolist(), strict=True)], lengths.astype(np.int64), ids
+        yield bytes(view[at:body]), bytes(view[body:end])
+        at = end + len(mark)
 
 
-def encode_documents(tokenizer_path: str, end_id: int, frame_chars: int):
+def tokens_of_documents(tokenizer_path: str, end_id: int, frame_bytes: int):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from graphloom.llm.tokens import batches, shared_encoder
-
-        encoder, shard, number = shared_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-
-        def frame(names: list, texts: list) -> pa.RecordBatch:
-            nonlocal number
-            lengths, ids = [], []
-            for _, some in batches(texts):
-                for coded in encoder.encode(some):
-                    ids.append(np.frombuffer(coded + end, "<u4"))
-                    lengths.append(len(coded) // 4 + 1)
-            out = write_frame(shard, number, names, lengths, np.concatenate(ids))
-            number += 1
-            return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["frame"])
-
-        names, texts, total = [], [], 0
+        encoder, shard, number, before = shared_encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        names, lengths, ids, size = [], [], [], 0
+
+        def frame() -> pa.RecordBatch:
+            nonlocal names, lengths, ids, size, number, before
+            flat, n = np.concatenate(ids), np.concatenate(lengths)
+            head = head_of(shard, number, before, names, n)
+            number, before, names, lengths, ids, size = number + 1, before + len(flat), [], [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([head], pa.binary()), binary_column(flat, np.array([len(flat)]))], names=["head", "ids"])
+
         for part in parts:
-            for name, text in zip(part.column(0).to_pylist(), (t.as_py() for t in part.column(1)), strict=True):
-                names.append(name)
-                texts.append(text)
-                total += len(text or "")
-                if total >= frame_chars:
-                    yield frame(names, texts)
-                    names, texts, total = [], [], 0
+            for at, to in slices(part.column(1), frame_bytes):
+                texts = part.column(1).slice(at, to - at)
+                coded, n = encoder.encode_ending(texts, end_id)
+                names += part.column(0).slice(at, to - at).to_pylist()
+                lengths.append(n)
+                ids.append(coded)
+                size += texts.nbytes
+                if size >= frame_bytes // 2:
+                    yield frame()
         if names:
-            yield frame(names, texts)
+            yield frame()
 
     return run
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id_column: str = "doc_id", text: str = "text", end_id: int = END, frame_chars: int = FRAME) -> None:
+def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id_column: str = "doc_id", text: str = "text", end_id: int = END, frame_bytes: int = FRAME) -> None:
     """Writes every row's ids and ``end_id``, rows in ascending id order over the files (nulls first, equal ids in input order).
 
     A null or empty text is its end id alone. Equal ids don't crowd one task: the
@@ -117,49 +105,58 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id_column: str =
     """
     rows = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("nth"))
     ranged = rows.repartitionByRange("doc_id", "nth").sortWithinPartitions("doc_id", "nth")
-    frames = ranged.select("doc_id", "text").mapInArrow(encode_documents(tokenizer_path, end_id, frame_chars), "frame binary")
+    frames = ranged.select("doc_id", "text").mapInArrow(tokens_of_documents(tokenizer_path, end_id, frame_bytes), _FRAME_SQL)
     # Spark's text writer puts bytes down as they are, each row with the mark behind it.
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", MARK).text(path)
+    framed = F.concat(F.col("head"), encode_ids(df.sparkSession, "ids")).cast("string")
+    frames.select(framed.alias("value")).write.option("lineSep", MARK).option("maxRecordsPerFile", FRAMES).text(path)
+
+
+def _split(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for content in part.column(0):
+            for head, payload in frames_of(content.as_buffer()):
+                yield pa.RecordBatch.from_arrays([pa.array([head], pa.binary()), pa.array([payload], pa.binary())], names=["head", "payload"])
 
 
 _READ_SQL = "shard int, frame int, row int, doc_id bigint, before bigint, n_tokens bigint, ids binary"
 
 
-def _decode(keep_ids: bool):
+def _documents(keep_ids: bool):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for content in part.column(0):
-                before = 0
-                for shard, number, docs, lengths, ids in read_frames(content.as_buffer()):
-                    starts = np.cumsum(lengths) - lengths
-                    raw = [ids[s : s + n].tobytes() for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-                    columns = {
-                        "shard": pa.array([shard] * len(docs), pa.int32()), "frame": pa.array([number] * len(docs), pa.int32()), "row": pa.array(range(len(docs)), pa.int32()),
-                        "doc_id": pa.array(docs, pa.int64()), "before": pa.array(before + starts), "n_tokens": pa.array(lengths),
-                    }
-                    if keep_ids:
-                        columns["ids"] = pa.array(raw, pa.binary())
-                    else:
-                        columns["ids_crc32"] = pa.array([zlib.crc32(r) for r in raw], pa.int64())
-                    before += int(lengths.sum())
-                    yield pa.RecordBatch.from_pydict(columns)
+            for head, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                shard, number, before, docs, lengths = table_of(head)
+                ids = np.frombuffer(raw.as_buffer(), "<u4")
+                if len(ids) != int(lengths.sum()):
+                    raise ValueError("damaged frame")
+                ends = np.cumsum(lengths)
+                columns = {
+                    "shard": pa.array([shard] * len(docs), pa.int32()), "frame": pa.array([number] * len(docs), pa.int32()), "row": pa.array(range(len(docs)), pa.int32()),
+                    "doc_id": pa.array(docs, pa.int64()), "before": pa.array(before + ends - lengths), "n_tokens": pa.array(lengths),
+                }
+                if keep_ids:
+                    columns["ids"] = binary_column(ids, ends)
+                else:
+                    columns["ids_crc32"] = pa.array([zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.int64())
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
 def read_tokens(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame:
-    """Per document of the files: shard, frame, row, doc_id, before (ids before it in its file), n_tokens, and ids or ids_crc32."""
+    """Per document of the files: shard, frame, row, doc_id, before (ids before it in its shard), n_tokens, and ids or ids_crc32."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("content")
-    return files.mapInArrow(_decode(keep_ids), _READ_SQL if keep_ids else _READ_SQL.replace("ids binary", "ids_crc32 bigint"))
+    frames = files.mapInArrow(_split, "head binary, payload binary").select("head", decode_ids(spark, "payload").alias("ids"))
+    return frames.mapInArrow(_documents(keep_ids), _READ_SQL if keep_ids else _READ_SQL.replace("ids binary", "ids_crc32 bigint"))
 
 
 def op1_documents(documents: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Writes the files, reads them back; starts are sums over files, never over rows."""
+    """Writes the files, reads them back; starts are sums over shards, never over rows."""
     spark = documents.sparkSession
     path = scratch_path(spark, "tokens")
     write_tokens(documents, path, tokenizer_path)
     seen = written(read_tokens(spark, path, keep_ids=False), "read_back")
-    files = seen.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    # A row per file.
-    first = files.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"))
+    shards = seen.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    # A row per shard: as many as the write had tasks.
+    first = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"))
     return seen.join(F.broadcast(first), "shard").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard", "frame", "row")

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,28 +60,54 @@ def crc(ids):
 # 1 ------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("n", [0, 1, 7, 999, 1000, 1001, 5000])
-def test_range_coder_round_trip(n):
-    g = np.random.default_rng(n)
-    for ids in (g.integers(0, 65536, n), g.zipf(1.4, n) % 50257, np.full(n, 65535), np.arange(n) % 5):
-        blocks = rangecoder.encode_ids(ids.astype(np.uint32), block=1000, lanes=3)
-        assert rangecoder.decode_ids(blocks).tolist() == ids.tolist()
-
-
-def test_range_coder_blocks_stand_alone_and_are_checked():
-    ids = (np.random.default_rng(0).zipf(1.3, 3000) % 50257).astype(np.uint32)
-    blocks = rangecoder.encode_ids(ids, block=1000)
-    assert rangecoder.decode_ids(blocks[1:2]).tolist() == ids[1000:2000].tolist()
-    n, c, payload = blocks[0]
-    with pytest.raises(ValueError):
-        rangecoder.decode_ids([(n, c, payload[:8] + bytes([payload[8] ^ 1]) + payload[9:])])
-    with pytest.raises(ValueError):
-        rangecoder.encode_ids(np.array([1 << 16]))
-
-
-def test_range_coder_compresses_what_repeats():
-    blocks = rangecoder.encode_ids(np.tile(np.arange(50, dtype=np.uint32), 400))
-    assert sum(len(p) for *_, p in blocks) < 2500
+def coded(spark, *arrays):
+    """Payload of each array of ids."""
+    rows = spark.createDataFrame([(k, bytearray(np.asarray(a, "<u4").tobytes())) for k, a in enumerate(arrays)], "k int, ids binary")
+    return [bytes(r.p) for r in rows.select("k", rangecoder.encode_ids(spark, "ids").alias("p")).orderBy("k").collect()]
+
+
+def decoded(spark, *payloads):
+    rows = spark.createDataFrame([(k, bytearray(p)) for k, p in enumerate(payloads)], "k int, p binary")
+    return [np.frombuffer(bytes(r.ids), "<u4") for r in rows.select("k", rangecoder.decode_ids(spark, "p").alias("ids")).orderBy("k").collect()]
+
+
+def test_range_coder_round_trip(spark):
+    r = np.random.default_rng(0)
+    block = 1 << 17
+    cases = [[], [0], [65535], [7] * 1000, np.arange(65536), r.integers(0, 65536, 50_000), r.zipf(1.2, 2 * block + 77) % 50257, np.tile(r.integers(0, 50257, 700), 300), np.repeat([3, 65535], block), np.r_[[9] * block, 4]]
+    for case, found in zip(cases, decoded(spark, *coded(spark, *cases)), strict=True):
+        assert np.array_equal(found, case)
+
+
+def test_range_coder_blocks_stand_alone_and_are_checked(spark):
+    """The second block of a payload reads the same when the first is damaged or gone from its place."""
+    (payload,) = coded(spark, np.random.default_rng(0).zipf(1.3, 200_000) % 50257)
+    _, n, blocks, shape = np.frombuffer(payload, "<u4", 4).tolist()
+    table = np.frombuffer(payload, "<u4", 3 * blocks, 16 + shape).reshape(-1, 3)
+    assert (n, blocks, table[:, 0].tolist()) == (200_000, 2, [1 << 17, 200_000 - (1 << 17)])
+    first = 16 + shape + 12 * blocks
+    ids = decoded(spark, payload)[0]
+    # A payload of the second block alone: the same shape of the tree, and its own row of the table.
+    rest = bytes(payload[16 : 16 + shape]) + table[1].tobytes() + payload[first + int(table[0, 1]) :]
+    alone = np.array([16 + len(rest), table[1, 0], 1, shape], "<u4").tobytes() + rest
+    assert np.array_equal(decoded(spark, alone)[0], ids[1 << 17 :])
+    assert [zlib.crc32(ids[: 1 << 17]), zlib.crc32(ids[1 << 17 :])] == table[:, 2].tolist()
+    for bad in (payload[:-1], payload[: first + 3] + bytes([payload[first + 3] ^ 1]) + payload[first + 4 :], payload[:20] + b"?" + payload[21:], payload[:10], b""):
+        with pytest.raises(Exception, match="damaged|truncated|checksum"):
+            decoded(spark, bad)
+    with pytest.raises(Exception, match="below 65536"):
+        coded(spark, [1 << 16])
+
+
+def test_range_coder_mixes_its_orders(spark):
+    r = np.random.default_rng(1)
+    follow = r.integers(0, 2000, (2000, 4))
+    chain = [0, 1]
+    for k in r.integers(0, 4, 60_000):
+        chain.append(int(follow[chain[-1], k]))
+    repeated, chained, flat = map(len, coded(spark, np.tile(np.arange(50), 400), chain, r.integers(0, 2000, 60_000)))
+    assert repeated < 400  # orders 1 and 2 know every id
+    assert chained < 0.87 * flat  # one of four ids follows the last
 
 
 def test_token_files(docs, none):
@@ -101,12 +128,27 @@ def test_token_files_keep_repeated_and_null_ids(spark, tmp_path):
     assert [len(r.ids) // 4 for r in found] == [2, 1, 2, 2]
 
 
-def test_damaged_file_is_refused():
-    frame = tokenfile.write_frame(0, 0, [1, None], [2, 1], np.array([5, 2, 2], np.uint32)) + tokenfile.MARK.encode()
-    assert [x[2] for x in tokenfile.read_frames(frame)] == [[1, None]]
-    for bad in (frame[:-3], b"x" + frame[1:], frame[:60] + b"?" + frame[61:]):
+def test_damaged_file_is_refused(spark):
+    (payload,) = coded(spark, [5, 2, 2])
+    frame = tokenfile.head_of(0, 0, 9, [1, None], np.array([2, 1])) + payload + tokenfile.MARK.encode()
+    ((head, body),) = tokenfile.frames_of(frame)
+    assert body == payload and tokenfile.table_of(head)[2:4] == (9, [1, None])
+    for bad in (frame[:-3], b"x" + frame[1:], frame[:50] + b"?" + frame[51:]):
         with pytest.raises(ValueError):
-            list(tokenfile.read_frames(bad))
+            [tokenfile.table_of(h) for h, _ in tokenfile.frames_of(bad)]
+
+
+def test_frames_and_files_are_cut_by_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "FRAMES", 2)
+    rows = spark.createDataFrame([(i, PROSE(50)) for i in range(40)], "doc_id bigint, text string").coalesce(1)
+    path = str(tmp_path / "t")
+    tokenfile.write_tokens(rows, path, P.path("byte_bpe_50k.json"), frame_bytes=2000)
+    found = tokenfile.read_tokens(spark, path).orderBy("shard", "frame", "row").collect()
+    assert [r.doc_id for r in found] == list(range(40)) and len({(r.shard, r.frame) for r in found}) > 8
+    assert len(list((tmp_path / "t").glob("part-*"))) > 4
+    for shard in {r.shard for r in found}:
+        own = [r for r in found if r.shard == shard]
+        assert [r.before for r in own] == np.cumsum([0] + [r.n_tokens for r in own])[:-1].tolist()
 
 
 # 2 ------------------------------------------------------------------------
@@ -379,7 +421,27 @@ def test_packing(docs, none):
     assert packing.op10_documents(none, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def split(ids, n):
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
 def test_piece_encoder_equals_the_library():
     enc = tokens.PieceEncoder(P.path("byte_bpe_50k.json"), memo=50)
     for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(TEXTS)] == ids_of()
+        assert split(*enc.encode(pa.array(TEXTS))) == ids_of()
+        assert split(*enc.encode_ending(pa.array(TEXTS, pa.large_string())[3:], 2)) == [[*x, 2] for x in ids_of()[3:]]
+    assert enc.encode(pa.array([], pa.string()))[1].tolist() == [] and enc.encode(pa.array(["", None]))[1].tolist() == [0, 0]
+
+
+def test_piece_encoder_at_odd_boundaries():
+    """White space of all kinds, marks, contractions and scripts next to each other and at the ends of texts."""
+    enc, r = tokens.PieceEncoder(P.path("byte_bpe_50k.json")), random.Random(8)
+    parts = ["a", "B", "é", "×", " ", " ", "\n", "\t", "\u00a0", "\u3000", "\u2003", "\x1c", "\x85", ".", ",", "'", "'s", "'ll", "1", "½", "日", "Ж", "&", "😀", "\x00", "\u0301", "\u200b", "<|endoftext|>", "\r\n", "ll"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(20_000)]
+    assert split(*enc.encode(pa.array(texts))) == [e.ids for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_other_tokenizers_are_not_cut():
+    enc = tokens.PieceEncoder(P.path("word_bpe_49k.json"))
+    assert not enc.cuttable
+    assert split(*enc.encode(pa.array(["Two words", None, "two  words"]))) == [e.ids for e in enc.tokenizer.encode_batch_fast(["Two words", "", "two  words"], add_special_tokens=False)]
