@@ -25,8 +25,8 @@ import pyarrow as pa
 
 #: A piece, perhaps with a space before it, that has no white space of Unicode.
 _VISIBLE = re.compile(rb" ?[!-~\x80-\xc1\xc3-\xe0\xe4-\xf4]+").fullmatch
-#: Characters given to the tokenizer at once: its own results take far more room than the ids.
-_AT_ONCE = 4_000
+#: Bytes of pieces in one text for the library, and of texts at once: its own results take far more room than the ids.
+_JOINED, _AT_ONCE = 4_000, 400_000
 _LETTER, _OTHER, _SEEN, _SPACE, _FEED, _PRINT = 1, 2, 4, 8, 16, 32
 
 
@@ -97,7 +97,7 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class PieceEncoder:
     """Texts to ids. The memo of pieces is bounded; it is emptied when full."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 500_000):
         self.tokenizer, self.limit = load_tokenizer(path), memo
         self.memo: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as source:
@@ -118,7 +118,7 @@ class PieceEncoder:
         at, total = 0, 0
         for k, text in enumerate(texts, 1):
             total += len(text) + 16
-            if total >= 100 * _AT_ONCE or k == len(texts):
+            if total >= _AT_ONCE or k == len(texts):
                 for e in self.tokenizer.encode_batch_fast(texts[at:k], add_special_tokens=False):
                     yield np.array(e.ids, "<u4")
                 at, total = k, 0
@@ -128,28 +128,27 @@ class PieceEncoder:
         groups, at, total = [], 0, 0
         for k, w in enumerate(words, 1):
             total += len(w) + 1
-            if total >= _AT_ONCE or k == len(words):
+            if total >= _JOINED or k == len(words):
                 groups.append(words[at:k])
                 at, total = k, 0
         for group, ids in zip(groups, self._library([between.join(g).decode() for g in groups]), strict=True):
             if between:
-                ends = np.flatnonzero(ids == self.feed)
-                edges = np.concatenate([[0], ends + 1, [len(ids) + 1]])
-                stops = (edges[1:] - 1).tolist()
+                stops = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]
+                edges = [0, *(k + 1 for k in stops[:-1])]
             else:
-                edges = np.concatenate([np.flatnonzero(self.spaced[ids]), [len(ids)]])
-                stops = edges[1:].tolist()
-            if len(stops) != len(group):
+                edges = np.flatnonzero(self.spaced[ids]).tolist()
+                stops = [*edges[1:], len(ids)]
+            if len(edges) != len(group):
                 raise ValueError("the ids don't tell the pieces apart")
             raw = ids.tobytes()
-            self.memo.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(group, edges.tolist(), stops, strict=False))
+            self.memo.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(group, edges, stops, strict=True))
 
     def _learn(self, new: list[bytes]) -> None:
         if self.cuttable:
             visible = [w for w in new if _VISIBLE(w)]
             self._together([w for w in visible if w[0] == 32], b"")
             self._together([w for w in visible if w[0] != 32], b"\n")
-            new = [w for w in new if w not in self.memo] if len(visible) < len(new) else []
+            new = [w for w in new if w not in self.memo]
         self.memo.update(zip(new, (ids.tobytes() for ids in self._library([w.decode() for w in new])), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -162,11 +161,14 @@ class PieceEncoder:
             return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
         pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
-        which, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        which, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.memo) > self.limit:
             self.memo.clear()
-        self._learn([w for w in words if w not in self.memo])
-        found = list(map(self.memo.__getitem__, words))
+        found = list(map(self.memo.get, words))
+        unknown = [k for k, ids in enumerate(found) if ids is None]
+        self._learn([words[k] for k in unknown])
+        for k in unknown:
+            found[k] = self.memo[words[k]]
         flat = np.frombuffer(b"".join(found), "<u4")
         count = np.fromiter(map(len, found), np.int32, len(found)) // 4
         first = np.cumsum(count, dtype=np.int32) - count
@@ -189,7 +191,7 @@ def shared_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def slices(texts: pa.Array, size: int = 10_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, size: int = 6_000_000) -> Iterator[tuple[int, int]]:
     """(first, last) of slices of about so many bytes each, so that memory follows the texts and not the row count."""
     ends = _flat(texts)[1]
     first = 0

@@ -142,7 +142,7 @@ def test_frames_and_files_are_cut_by_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenfile, "FRAMES", 2)
     rows = spark.createDataFrame([(i, PROSE(50)) for i in range(40)], "doc_id bigint, text string").coalesce(1)
     path = str(tmp_path / "t")
-    tokenfile.write_tokens(rows, path, P.path("byte_bpe_50k.json"), frame_bytes=2000)
+    tokenfile.write_tokens(rows, path, P.path("byte_bpe_50k.json"), frame_bytes=1000)
     found = tokenfile.read_tokens(spark, path).orderBy("shard", "frame", "row").collect()
     assert [r.doc_id for r in found] == list(range(40)) and len({(r.shard, r.frame) for r in found}) > 8
     assert len(list((tmp_path / "t").glob("part-*"))) > 4
