@@ -8,7 +8,7 @@ worst of a list goes to its owner. All steps are joins and groups by a bucket of
 vector ids; no list is longer than ``k`` (or ``2 k`` with reverse neighbours), so
 no task's share depends on how popular a vector is. Search: every query keeps a
 beam, expands its nearest unexpanded members by joins with the graph, and ends
-when a round adds nothing. Distances of results are exact, in double precision.
+when none is left. Distances of results are exact, in double precision.
 
 Trees are cut at medians of a bounded sample (``SAMPLE`` rows); every vector is
 indexed. Up to ``LEAF`` vectors the result is exact: one leaf holds them all.
@@ -30,8 +30,10 @@ from graphloom.llm.common import checkpoint, written
 K, TREES, LEAF, SEND = 30, 4, 600, 5
 #: Rows that the trees are cut on: the bound of the driver's share.
 SAMPLE = 20_000
-#: Beam of a search, members that it expands in a round, and rounds at most.
-BEAM, EXPAND, HOPS = 320, 40, 40
+#: Rows that the centre is the mean of.
+CENTRE = 2_000
+#: Beam of a search, and members that it expands in a round.
+BEAM, EXPAND = 320, 40
 #: Vectors whose lists are worked on in one group.
 GROUP = 2_000
 _STATE = "id bigint, near array<bigint>, far array<float>"
@@ -52,12 +54,19 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(parts), "<f4").reshape(len(parts), -1)
 
 
-def _as_bytes():
+def centre_of(rows: DataFrame, n: int) -> np.ndarray:
+    """About the mean of all vectors: distances don't change by it, but short vectors keep them precise in single precision."""
+    drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) <= int(1_000_003 * min(1.0, CENTRE / max(1, n)))).limit(2 * CENTRE)
+    sample = sorted(((r.id, r.vec) for r in drawn.select("id", "vec").collect()), key=lambda x: x[0])
+    return np.mean(np.array([v for _, v in sample], "<f8"), axis=0) if sample else np.zeros(1)
+
+
+def _as_bytes(centre: np.ndarray):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             exact = [np.array(v, "<f8") + 0.0 for v in part.column(1).to_pylist()]  # -0.0 equals 0.0
             classes = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in exact]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(classes, pa.binary()), pa.array([v.astype("<f4").tobytes() for v in exact], pa.binary())], names=["id", "class", "raw"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(classes, pa.binary()), pa.array([(v - centre).astype("<f4").tobytes() for v in exact], pa.binary())], names=["id", "class", "raw"])
 
     return run
 
@@ -109,7 +118,9 @@ def _leaves(forest):
 
 
 def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of x (..., n, d) and y (..., m, d) all squared distances."""
+    """Of x (..., n, d) and y (..., m, d) all squared distances. Taken from their own middle, so that norms don't drown them."""
+    middle = x.mean(-2, keepdims=True)
+    x, y = x - middle, y - middle
     d = (x * x).sum(-1)[..., :, None] + (y * y).sum(-1)[..., None, :] - 2 * (x @ np.swapaxes(y, -1, -2))
     return np.maximum(d, 0)
 
@@ -310,10 +321,11 @@ def _advance(beam: int, expand: int):
     return run
 
 
-def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, expand: int = EXPAND, hops: int = HOPS) -> DataFrame:
+def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """(q, near): up to ``beam`` nearest found per query, nearest first. ``queries``: (q, raw floats); q never finds the id q.
 
     A query whose id is in the graph starts from its own list, any other from a few dozen vectors.
+    Ends when no beam has a member left to expand: what leaves a beam never comes back, so it does end.
     """
     n, m = vectors.count(), queries.count()
     entries = [r.id for r in graph.select("id").orderBy(F.xxhash64("id")).limit(48).collect()]
@@ -324,7 +336,7 @@ def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = K,
     far = F.coalesce("far", F.array(*[F.lit(float("inf"))] * len(entries)).cast("array<float>"))
     state = queries.join(graph, F.col("q") == F.col("id"), "left").select("q", "raw", start.alias("near"), far.alias("far"))
     state = written(state.select("*", F.coalesce(F.transform("near", lambda x: F.lit(False)), none).alias("done")), "beam")
-    for _ in range(hops):
+    while True:
         todo = F.slice(F.filter(F.arrays_zip("near", "done"), lambda x: ~x["done"]), 1, expand)
         nodes = state.select("q", F.explode(todo).alias("x")).select("q", F.col("x.near").alias("v"))
         reached = nodes.join(around, "v").select("q", F.explode("near").alias("u")).filter("u <> q")
@@ -334,8 +346,7 @@ def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = K,
         found = asked.groupBy("bucket").cogroup(vectors.select("id", "raw").groupBy(_bucket("id", n))).applyInArrow(_distances, _STATE)
         state = written(state.groupBy(_bucket("q", m)).cogroup(found.groupBy(_bucket("id", m))).applyInArrow(_advance(beam, expand), _BEAM), "beam")
         if state.filter(F.exists("done", lambda d: ~d)).isEmpty():
-            break
-    return state.select("q", "near")
+            return state.select("q", "near")
 
 
 def first_members(members: DataFrame, count: int) -> DataFrame:
@@ -354,7 +365,7 @@ def nearest(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding",
     lengths raise an error, as no distance is defined. An empty table gives no rows.
     """
     rows = written(usable(df, id_column, vector), "vectors")
-    raw = written(rows.mapInArrow(_as_bytes(), "id bigint, class binary, raw binary"), "raw")
+    raw = written(rows.mapInArrow(_as_bytes(centre_of(rows, rows.count())), "id bigint, class binary, raw binary"), "raw")
     # One more than a query needs, as it may be one of them.
     classes = written(first_members(raw.select("id", "class"), count + 1).select("class", F.element_at("ids", 1).alias("rep"), "ids"), "classes")
     single = written(raw.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "raw"), "representatives")

@@ -285,9 +285,11 @@ def test_ann_is_exact_in_one_leaf(spark):
     assert ann.nearest(df.filter("vec_id in (0, 3, 6)")).count() == 2
 
 
-def test_ann_recall(spark):
+@pytest.mark.parametrize("offset", [0, 1000])
+def test_ann_recall(spark, offset):
+    """Above one leaf, so that the graph comes from descent; vectors far from the origin are as near to each other."""
     g = np.random.default_rng(2)
-    x = g.standard_normal((1500, 16)).astype(np.float32)
+    x = g.standard_normal((1500, 16)).astype(np.float32) * (0.01 if offset else 1) + np.float32(offset)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
     found = ann.nearest(df).collect()
     hits = sum(r.vec_id in {i for _, i in brute(list(range(1500)), x.astype(float), r.query_id)} for r in found)
