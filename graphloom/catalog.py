@@ -113,23 +113,31 @@ _sparql("bgp_type_fold", "SELECT ?c ?n WHERE { ?c a c:Customer ; v:c_nation ?n }
 _sparql("bgp_var_type_object", "SELECT ?t ?x WHERE { ?x a ?t . ?x v:n_name ?name }", f"select '<urn:class:Nation>' t, {_NATION} x from nation")
 _sparql("bgp_var_predicate", "SELECT ?p ?o WHERE { <urn:nation:3> ?p ?o }", f"select p, o from {_triples_sql('nation')} where s = '<urn:nation:3>'")
 _sparql("bgp_inverse_multivalue", "SELECT ?n ?c WHERE { ?n v:n_name ?x . ?c v:c_nation ?n }", f"select {_NATION} n, {_CUSTOMER} c from nation join customer on c_nationkey = n_nationkey")
-_sparql("bgp_parallel_edges", "SELECT ?l WHERE { ?l v:l_quantity ?q . ?o v:o_totalprice ?q . ?l v:l_order ?o }", "select '' l where false")
 _sparql("bgp_repeated_predicate", "SELECT ?a ?b ?n WHERE { ?a v:s_nation ?n . ?b v:s_nation ?n }", f"select {_iri('supplier', 'a.s_suppkey')} a, {_iri('supplier', 'b.s_suppkey')} b, {_iri('nation', 'a.s_nationkey')} n from supplier a join supplier b on a.s_nationkey = b.s_nationkey")
 _sparql("bgp_cartesian", "SELECT ?rn ?nn WHERE { ?r v:r_name ?rn . ?n v:n_name ?nn }", f"select {_lit('r_name')} rn, {_lit('n_name')} nn from region, nation")
 _sparql("bgp_two_sources", "SELECT ?d ?lang ?q WHERE { ?d v:d_lang ?lang ; v:d_quality ?q }", f"select {_iri('documents', 'd.doc_id')} d, {_lit('lang')} lang, {_lit('quality')} q from documents d join labels l on d.doc_id = l.doc_id")
 _sparql("bgp_sparql_bag", "SELECT ?r WHERE { ?n v:n_region ?r . ?n v:n_name ?x }", f"select {_iri('region', 'n_regionkey')} r from nation", mode="sparql")
 _sparql("q_distinct", "SELECT DISTINCT ?seg WHERE { ?c v:c_segment ?seg . ?o v:o_cust ?c }", f"select distinct {_lit('c_mktsegment')} seg from customer join orders on o_custkey = c_custkey")
 _sparql("q_filter_num", "SELECT ?c ?b WHERE { ?c v:c_acctbal ?b FILTER(?b > 5000 && ?b <= 9000.5) }", f"select {_CUSTOMER} c, {_lit('c_acctbal')} b from customer where c_acctbal > 5000 and c_acctbal <= 9000.5")
-_sparql("q_filter_regex", 'SELECT ?n ?x WHERE { ?n v:n_name ?x FILTER regex(?x, "^i", "i") }', f"select {_NATION} n, {_lit('n_name')} x from nation where regexp_matches(n_name, '^[iI]')")
-_sparql("q_filter_text", 'SELECT ?n ?x WHERE { ?n v:n_name ?x FILTER(strlen(str(?x)) > 6 || ?x IN ("CHINA", "JAPAN")) FILTER isLiteral(?x) }', f"select {_NATION} n, {_lit('n_name')} x from nation where length(n_name) > 6 or n_name in ('CHINA', 'JAPAN')")
+_sparql("q_filter_regex", 'SELECT ?n ?x WHERE { ?n v:n_name ?x FILTER regex(?x, "^nation_1[0-4]$", "i") }', f"select {_NATION} n, {_lit('n_name')} x from nation where regexp_matches(n_name, '^NATION_1[0-4]$')")
+_sparql("q_filter_text", 'SELECT ?n ?x WHERE { ?n v:n_name ?x FILTER(strlen(str(?x)) > 8 || ?x IN ("NATION_3", "NATION_5")) FILTER isLiteral(?x) }', f"select {_NATION} n, {_lit('n_name')} x from nation where length(n_name) > 8 or n_name in ('NATION_3', 'NATION_5')")
 _sparql("q_optional", "SELECT ?d ?q WHERE { ?d v:d_lang ?l OPTIONAL { ?d v:d_quality ?q } }", f"select {_iri('documents', 'd.doc_id')} d, {_lit('quality')} q from documents d left join labels l on d.doc_id = l.doc_id")
 _sparql("q_union", "SELECT ?x ?n WHERE { { ?x v:c_nation ?n } UNION { ?x v:s_nation ?n } }", f"select {_CUSTOMER} x, {_iri('nation', 'c_nationkey')} n from customer union all select {_iri('supplier', 's_suppkey')}, {_iri('nation', 's_nationkey')} from supplier")
-_sparql("q_minus", "SELECT ?c WHERE { ?c v:c_name ?name MINUS { ?o v:o_cust ?c } }", f"select {_CUSTOMER} c from customer where c_custkey not in (select o_custkey from orders)")
+_sparql("q_minus", "SELECT ?d ?l WHERE { ?d v:d_lang ?l MINUS { ?d v:d_toxic ?t } }", f"select {_iri('documents', 'doc_id')} d, {_lit('lang')} l from documents where doc_id not in (select doc_id from labels)")
 _sparql("q_exists", "SELECT ?c WHERE { ?c v:c_name ?name FILTER EXISTS { ?o v:o_cust ?c } }", f"select {_CUSTOMER} c from customer where c_custkey in (select o_custkey from orders)")
 _sparql("q_order_limit", "SELECT ?c ?b WHERE { ?c v:c_acctbal ?b } ORDER BY DESC(?b) ?c LIMIT 10 OFFSET 5", f"select {_CUSTOMER} c, {_lit('c_acctbal')} b from customer order by c_acctbal desc, 1 limit 10 offset 5")
 _sparql("q_count_group", "SELECT ?seg (COUNT(?c) AS ?n) (COUNT(DISTINCT ?nat) AS ?k) WHERE { ?c v:c_segment ?seg ; v:c_nation ?nat } GROUP BY ?seg HAVING (COUNT(?c) > 1)", f"select {_lit('c_mktsegment')} seg, count(*) n, count(distinct c_nationkey) k from customer group by c_mktsegment having count(*) > 1")
-_sparql("q_aggregates", "SELECT ?n (MIN(?b) AS ?lo) (MAX(?b) AS ?hi) WHERE { ?c v:c_nation ?n ; v:c_acctbal ?b } GROUP BY ?n", f"select {_iri('nation', 'c_nationkey')} n, min(c_acctbal) lo, max(c_acctbal) hi from customer group by c_nationkey")
-_sparql("q_values", 'SELECT ?n ?name WHERE { VALUES ?name { "CHINA" "FRANCE" } ?n v:n_name ?name }', f"select {_NATION} n, {_lit('n_name')} name from nation where n_name in ('CHINA', 'FRANCE')")
+_sparql("q_aggregates", "SELECT ?n (MIN(?b) AS ?lo) (MAX(?b) AS ?hi) WHERE { ?c v:c_nation ?n ; v:c_acctbal ?b } GROUP BY ?n", f"select {_iri('nation', 'c_nationkey')} n, {_lit('min(c_acctbal)')} lo, {_lit('max(c_acctbal)')} hi from customer group by c_nationkey")
+_sparql("q_aggregates_text", "SELECT ?b (MIN(?n) AS ?lo) (MAX(?n) AS ?hi) (SAMPLE(?n) AS ?pick) (MIN(?z) AS ?least) WHERE { ?p v:p_brand ?b ; v:p_name ?n ; v:p_size ?z } GROUP BY ?b", f"select {_lit('p_brand')} b, {_lit('min(p_name)')} lo, {_lit('max(p_name)')} hi, {_lit('min(p_name)')} pick, {_lit('min(p_size)')} least from part group by p_brand")
+_sparql("q_aggregates_distinct", "SELECT ?b (SUM(DISTINCT ?z) AS ?total) (AVG(DISTINCT ?z) AS ?mean) (AVG(?z) AS ?plain) WHERE { ?p v:p_brand ?b ; v:p_size ?z } GROUP BY ?b", f"select {_lit('p_brand')} b, cast(sum(distinct p_size) as double) total, avg(distinct p_size) mean, avg(p_size) plain from part group by p_brand", mode="sparql")
+_sparql("q_having_range", "SELECT ?n (COUNT(?c) AS ?k) WHERE { ?c v:c_nation ?n ; v:c_acctbal ?b } GROUP BY ?n HAVING (MAX(?b) - MIN(?b) > 9000 && COUNT(?c) > 2)", f"select {_iri('nation', 'c_nationkey')} n, count(*) k from customer group by c_nationkey having max(c_acctbal) - min(c_acctbal) > 9000 and count(*) > 2")
+_sparql("q_distinct_order_limit", "SELECT DISTINCT ?seg WHERE { ?c v:c_segment ?seg } ORDER BY DESC(?seg) LIMIT 3 OFFSET 1", f"select {_lit('c_mktsegment')} seg from (select distinct c_mktsegment from customer order by 1 desc limit 3 offset 1)")
+_sparql("q_distinct_order_hidden", "SELECT DISTINCT ?n WHERE { ?c v:c_nation ?n ; v:c_acctbal ?b } ORDER BY ?b LIMIT 4", f"select {_iri('nation', 'c_nationkey')} n from (select c_nationkey from customer group by 1 order by min(c_acctbal) limit 4)")
+_sparql("q_exists_unshared", 'SELECT ?r WHERE { ?r v:r_name ?x FILTER EXISTS { ?n v:n_name "NATION_3" } FILTER NOT EXISTS { ?m v:n_name "NOWHERE" } }', f"select {_iri('region', 'r_regionkey')} r from region")
+_sparql("q_optional_first", "SELECT ?n ?x ?r WHERE { OPTIONAL { ?n v:n_region ?r } ?n v:n_name ?x }", f"select {_NATION} n, {_lit('n_name')} x, {_iri('region', 'n_regionkey')} r from nation", mode="sparql")
+_sparql("q_optional_alone", 'SELECT ?n ?x WHERE { OPTIONAL { ?n v:n_name ?x FILTER(?x = "NOWHERE") } }', "select cast(null as varchar) n, cast(null as varchar) x")
+_sparql("q_term_functions", 'SELECT ?n ?k ?s ?t WHERE { ?n v:n_name ?x ; v:n_region ?r BIND(isIRI(?r) && !isBlank(?r) && isLiteral(?x) && bound(?x) AS ?k) BIND(xsd:integer(strlen(str(?x))) * 2 - -1 AS ?s) BIND(sameTerm(?r, <urn:region:1>) AS ?t) FILTER(lang(?x) = "" && !langMatches(lang(?x), "*")) }', f"""select {_NATION} n, '"true"^^<http://www.w3.org/2001/XMLSchema#boolean>' k, '"' || cast(cast(2 * length(n_name) + 1 as double) as varchar) || '"^^<http://www.w3.org/2001/XMLSchema#double>' s, '"' || (n_regionkey = 1)::varchar || '"^^<http://www.w3.org/2001/XMLSchema#boolean>' t from nation""")
+_sparql("q_values", 'SELECT ?n ?name WHERE { VALUES ?name { "NATION_3" "NATION_17" "NOWHERE" } ?n v:n_name ?name }', f"select {_NATION} n, {_lit('n_name')} name from nation where n_name in ('NATION_3', 'NATION_17')")
 _sparql("q_bind", 'SELECT ?n ?up WHERE { ?n v:n_name ?x BIND(concat("N-", lcase(str(?x))) AS ?up) }', f"""select {_NATION} n, '"N-' || lower(n_name) || '"' up from nation""")
 _sparql("q_subselect", "SELECT ?c ?name WHERE { ?c v:c_name ?name { SELECT DISTINCT ?c WHERE { ?o v:o_cust ?c } } }", f"select {_CUSTOMER} c, {_lit('c_name')} name from customer where c_custkey in (select o_custkey from orders)")
 
@@ -200,21 +208,21 @@ def _(spark, sf_dir):
     return schema.characteristic_sets(triples_of(spark, sf_dir)).select(F.array_join("preds", " ").alias("preds"), "n")
 
 
-_FOLD_SQL = f"(select s, case when p = '{RDF_TYPE}' then p || ' ' || o else p end p, o from {_triples_sql('nation', 'documents', 'labels')})"
+_FOLD_SQL = f"(select s, case when p = '{RDF_TYPE}' then p || ' ' || o else p end p, o from {_triples_sql()})"
 
 
 @_direct("schema_folded_sets", f"select preds, count(*) n from ({_SET_SQL.format(t=_FOLD_SQL)}) group by preds")
 def _(spark, sf_dir):
-    return schema.characteristic_sets(triples_of(spark, sf_dir, "nation", "documents", "labels"), fold=True).select(F.array_join("preds", " ").alias("preds"), "n")
+    return schema.characteristic_sets(triples_of(spark, sf_dir), fold=True).select(F.array_join("preds", " ").alias("preds"), "n")
 
 
-_TYPED = _triples_sql("documents", "labels", "nation")
+_TYPED = _triples_sql()
 _TYPES_SQL = f"with sets as ({_SET_SQL.format(t=_TYPED)}), types as (select preds, count(*) n, row_number() over (order by count(*) desc, preds) tid from sets group by preds)"
 
 
 @_direct("schema_entity_types", f"{_TYPES_SQL} select s, cast(tid as integer) tid from sets join types using (preds)")
 def _(spark, sf_dir):
-    rows = triples_of(spark, sf_dir, "documents", "labels", "nation")
+    rows = triples_of(spark, sf_dir)
     return schema.entity_types(rows, schema.type_table(rows))
 
 
@@ -225,12 +233,12 @@ def _(spark, sf_dir):
 
 @_direct("limit_topk_types", f"{_TYPES_SQL} select preds, n from types order by n desc, preds limit 2")
 def _(spark, sf_dir):
-    return schema.characteristic_sets(triples_of(spark, sf_dir, "documents", "labels", "nation"), top=2).select(F.array_join("preds", " ").alias("preds"), "n")
+    return schema.characteristic_sets(triples_of(spark, sf_dir), top=2).select(F.array_join("preds", " ").alias("preds"), "n")
 
 
 @_direct("stats_selectivity", f"{_TYPES_SQL}, typed as (select s, tid from sets join types using (preds)) select cast(tid as integer) tid, p, count(distinct s) n, count(distinct o) n_objects, round(count(distinct o) / count(distinct s), 6) sel from {_TYPED} join typed using (s) group by tid, p")
 def _(spark, sf_dir):
-    rows = triples_of(spark, sf_dir, "documents", "labels", "nation")
+    rows = triples_of(spark, sf_dir)
     found = schema.selectivity(rows, schema.entity_types(rows, schema.type_table(rows)))
     return found.withColumn("sel", F.round("sel", 6))
 
@@ -241,46 +249,43 @@ def _(spark, sf_dir):
     return schema.twig_size(inverse, ["_<urn:v:c_nation>", "_<urn:v:s_nation>"])
 
 
-@_direct("ingest_reverse_pairs", f"with t as {_triples_sql('nation', 'customer')} select s, p, o from t union all select o, '_' || p, s from t")
+@_direct("ingest_reverse_pairs", f"with t as {_triples_sql()} select s, p, o from t union all select o, '_' || p, s from t")
 def _(spark, sf_dir):
-    return ntriples.paired(triples_of(spark, sf_dir, "nation", "customer"))
+    return ntriples.paired(triples_of(spark, sf_dir))
 
 
-@_direct("ingest_dedup", f"select distinct s, p, o from {_triples_sql('nation', 'customer')}")
+@_direct("ingest_dedup", f"select distinct s, p, o from {_triples_sql()}")
 def _(spark, sf_dir):
-    rows = triples_of(spark, sf_dir, "nation", "customer")
+    rows = triples_of(spark, sf_dir)
     return ntriples.merge(rows, rows)
 
 
-_DICT = ("nation", "region", "supplier")
-
-
-@_direct("dict_encode_decode", f"select s, p, o from {_triples_sql(*_DICT)}")
+@_direct("dict_encode_decode", f"select s, p, o from {_triples_sql()}")
 def _(spark, sf_dir):
-    rows = triples_of(spark, sf_dir, *_DICT)
+    rows = triples_of(spark, sf_dir)
     terms, predicates = schema.dictionary(rows, schema.type_table(rows)), schema.predicate_ids(rows)
     return schema.decode(schema.encode(rows, terms, predicates), terms, predicates)
 
 
-@_direct("dict_terms", f"""with t as {_triples_sql(*_DICT)}, sets as ({_SET_SQL.format(t="t")}), types as (select preds, row_number() over (order by count(*) desc, preds) tid from sets group by preds),
+@_direct("dict_terms", f"""with t as {_triples_sql()}, sets as ({_SET_SQL.format(t="t")}), types as (select preds, row_number() over (order by count(*) desc, preds) tid from sets group by preds),
 terms as (select s term, tid from sets join types using (preds) union all select distinct o, 0 from t where o not in (select s from t))
 select term, cast(tid as integer) tid, cast(tid * 281474976710656 + row_number() over (partition by tid order by term) as bigint) eid from terms""")
 def _(spark, sf_dir):
-    rows = triples_of(spark, sf_dir, *_DICT)
+    rows = triples_of(spark, sf_dir)
     return schema.dictionary(rows, schema.type_table(rows))
 
 
 @_direct("dict_decode_solutions", f"select {_NATION} n, {_iri('region', 'n_regionkey')} r from nation")
 def _(spark, sf_dir):
-    rows = triples_of(spark, sf_dir, *_DICT)
+    rows = triples_of(spark, sf_dir)
     terms, predicates = schema.dictionary(rows, schema.type_table(rows)), schema.predicate_ids(rows)
     ids = schema.encode(rows, terms, predicates).join(predicates.filter("pred = '<urn:v:n_region>'"), "pid").select(F.col("sid").alias("n"), F.col("oid").alias("r"))
     return decode_columns(ids, ["n", "r"], terms).select("n", "r")
 
 
-@_direct("entities_by_subject", f"select s, p, string_agg(o, ' ' order by o) os from {_triples_sql('nation', 'region')} group by s, p")
+@_direct("entities_by_subject", f"select s, p, string_agg(o, ' ' order by o) os from {_triples_sql()} group by s, p")
 def _(spark, sf_dir):
-    return by_entity(triples_of(spark, sf_dir, "nation", "region")).select("s", "p", F.array_join("os", " ").alias("os"))
+    return by_entity(triples_of(spark, sf_dir)).select("s", "p", F.array_join("os", " ").alias("os"))
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> Solutions:
@@ -326,15 +331,15 @@ def _(spark, sf_dir):
     return _nations(spark, sf_dir).all_distinct_values()
 
 
-@_direct("update_add", f"select s, p, o from {_triples_sql('nation', 'region')} union select '<urn:nation:99>', '<urn:v:n_name>', '\"ATLANTIS\"'")
+@_direct("update_add", f"select s, p, o from {_triples_sql()} union select '<urn:nation:99>', '<urn:v:n_name>', '\"ATLANTIS\"'")
 def _(spark, sf_dir):
     new = spark.createDataFrame([("<urn:nation:99>", "<urn:v:n_name>", '"ATLANTIS"'), ("<urn:nation:99>", "<urn:v:n_name>", '"ATLANTIS"')], "s string, p string, o string")
-    return add_triples(triples_of(spark, sf_dir, "nation", "region"), new)
+    return add_triples(triples_of(spark, sf_dir), new)
 
 
-@_direct("update_remove", f"select s, p, o from {_triples_sql('nation', 'region')} where p <> '<urn:v:n_name>'")
+@_direct("update_remove", f"select s, p, o from {_triples_sql()} where p <> '<urn:v:n_name>'")
 def _(spark, sf_dir):
-    rows = triples_of(spark, sf_dir, "nation", "region")
+    rows = triples_of(spark, sf_dir)
     return remove_triples(rows, rows.filter("p = '<urn:v:n_name>'"))
 
 

@@ -11,6 +11,7 @@ from graphloom.plans.algebra import Call, Group, Pattern, Query, Term, Var, expr
 from graphloom.plans.sparql import UnsupportedQuery
 
 _NUMERIC = {"+", "-", "*", "/", "neg", "pos", "abs", "floor", "ceil", "round", "strlen"}
+_NUMBER_AGGREGATES = {"agg_count", "agg_sum", "agg_avg"}
 _TEXT = {"str", "lang", "ucase", "lcase", "concat"}
 _BOOLEAN = {"or", "and", "not", "=", "!=", "<", "<=", ">", ">=", "in", "bound", "sameterm", "isiri", "isuri", "isblank", "isliteral", "isnumeric", "regex", "langmatches", "contains", "strstarts", "strends"}
 
@@ -27,7 +28,9 @@ class Expressions:
                 return "number" if e.args[0] in ("integer", "decimal", "double", "float", "int", "long") else "text"
             if e.name in ("if", "coalesce"):
                 return self.kind(e.args[-1])
-            return "number" if e.name in _NUMERIC or e.name.startswith("agg_") else "text" if e.name in _TEXT else "truth" if e.name in _BOOLEAN else "term"
+            if e.name.startswith("agg_"):
+                return "number" if e.name in _NUMBER_AGGREGATES else "term"
+            return "number" if e.name in _NUMERIC else "text" if e.name in _TEXT else "truth" if e.name in _BOOLEAN else "term"
         if isinstance(e, Term) and "^^<" + T.XSD in e.text and e.text.endswith(("integer>", "decimal>", "double>")):
             return "number"
         if isinstance(e, Var) and e.name in self.native:
@@ -131,9 +134,13 @@ class Expressions:
             return F.count_distinct(self.term(arg)) if distinct else F.count(self.term(arg))
         if name in ("sum", "avg"):
             value = self.number(arg)
-            return (F.sum_distinct(value) if distinct else F.sum(value)) if name == "sum" else F.avg(value)
-        value = self.number(arg)
-        return F.min(value) if name == "min" else F.max(value) if name == "max" else F.first(value, ignorenulls=True)
+            if name == "sum":
+                return F.sum_distinct(value) if distinct else F.sum(value)
+            return F.try_divide(F.sum_distinct(value), F.count_distinct(value)) if distinct else F.avg(value)
+        # The order of ORDER BY: terms without a numeric value by text, then numbers. A sample is the first, so that runs agree.
+        value = self.term(arg)
+        ranked = F.when(value.isNotNull(), F.struct(T.number(value).alias("n"), value.alias("t")))
+        return (F.max(ranked) if name == "max" else F.min(ranked)).getField("t")
 
 
 def T_lexical(e) -> str:
@@ -153,6 +160,13 @@ def _join(left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataF
     return left.join(right, shared, how)
 
 
+def having_rows(df: DataFrame, other: DataFrame, some: bool) -> DataFrame:
+    """Rows of ``df`` with (or without) a partner in ``other``; nothing shared asks only whether ``other`` has rows."""
+    shared = sorted(set(df.columns) & set(other.columns))
+    how = "left_semi" if some else "left_anti"
+    return df.join(other, shared, how) if shared else df.join(other.limit(1).select(F.lit(1).alias("_one")), F.lit(True), how)
+
+
 class Runner:
     def __init__(self, store: Store, reference: bool, inverse: bool, stats):
         self.store, self.reference, self.inverse, self.stats = store, reference, inverse, stats
@@ -180,27 +194,35 @@ class Runner:
                 df = _join(df, out)
             elif name == "optional":
                 inner = Group([x for x in e[1].elements if not (isinstance(x, tuple) and x[0] == "filter")])
-                right = self.group(inner, None if wanted is None else used | set(df.columns))
+                right = self.group(inner, None if wanted is None else used | set(df.columns if df is not None else ()))
                 tests = [x[1] for x in e[1].elements if isinstance(x, tuple) and x[0] == "filter"]
-                df = self.optional(df, right, tests)
+                df = self.optional(df, right, tests) if df is not None else self.or_unit(right, tests)
             elif name == "minus":
+                df = self.unit() if df is None else df
                 right = self.group(e[1], None)
-                shared = sorted(set(df.columns) & set(right.columns))
-                df = df.join(right, shared, "left_anti") if shared else df
+                df = having_rows(df, right, False) if set(df.columns) & set(right.columns) else df
             elif name == "bind":
+                df = self.unit() if df is None else df
                 df = df.withColumn(e[2], Expressions(df.columns).term(e[1]))
             elif name == "values":
                 rows = self.store.spark.createDataFrame([tuple(r) for r in e[2]], ", ".join(f"`{v}` string" for v in e[1]))
                 df = _join(df, rows)
         for e in filters:
-            if e[0] == "filter":
-                df = df.filter(Expressions(df.columns).truth(e[1]))
-            else:
-                right = self.group(e[1], None)
-                shared = sorted(set(df.columns) & set(right.columns))
-                df = df.join(right, shared, "left_semi" if e[2] else "left_anti")
+            df = self.unit() if df is None else df
+            df = df.filter(Expressions(df.columns).truth(e[1])) if e[0] == "filter" else having_rows(df, self.group(e[1], None), e[2])
         return df
 
+    def unit(self) -> DataFrame:
+        """One solution without bindings: what a group starts from."""
+        return self.store.spark.range(1).select()
+
+    def or_unit(self, right: DataFrame, tests: list) -> DataFrame:
+        """A group that opens with OPTIONAL: its rows, or one solution without bindings if it has none."""
+        for t in tests:
+            right = right.filter(Expressions(right.columns).truth(t))
+        nothing = self.unit().select(*[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns])
+        return right.unionByName(having_rows(nothing.withColumnsRenamed({c: f"_u_{c}" for c in right.columns}), right, False).withColumnsRenamed({f"_u_{c}": c for c in right.columns}))
+
     def optional(self, left: DataFrame, right: DataFrame, tests: list) -> DataFrame:
         shared = sorted(set(left.columns) & set(right.columns))
         other = [c for c in right.columns if c not in shared]
@@ -221,47 +243,54 @@ class Runner:
         if df is None:
             raise UnsupportedQuery("empty pattern")
         native: set[str] = set()
+        order_by = q.order_by
         if q.group_by or (q.select and any(isinstance(e, Call) and e.name.startswith("agg_") for _, e in q.select)):
-            on, sums = Expressions(df.columns), {v: e for v, e in q.select if e is not None}
-            extra: dict[str, Call] = {}
+            on = Expressions(df.columns)
+            aggregates: dict[str, Call] = {}
 
-            def lift(e):
+            def lift(e, name: str | None = None):
+                """The expression with its aggregates as columns of their own."""
                 if isinstance(e, Call) and e.name.startswith("agg_"):
-                    name = next((v for v, x in {**sums, **extra}.items() if x == e), f"_agg{len(extra)}")
-                    if name not in sums:
-                        extra[name] = e
+                    name = name or next((v for v, x in aggregates.items() if x == e), f"_agg{len(aggregates)}")
+                    aggregates[name] = e
                     return Var(name)
                 return Call(e.name, tuple(map(lift, e.args))) if isinstance(e, Call) else e
 
-            having = lift(q.having) if q.having else None
             for v, e in q.select:
                 if e is None and v not in q.group_by:
                     raise UnsupportedQuery(f"?{v} is neither grouped nor aggregated")
-            all_sums = {**sums, **extra}
-            df = df.groupBy(*q.group_by).agg(*[on.aggregate(e).alias(v) for v, e in all_sums.items()])
-            native = set(all_sums)
+            # Plain aggregates first: they keep their names, others refer to them.
+            plain = {v for v, e in q.select if isinstance(e, Call) and e.name.startswith("agg_")}
+            lifted = {v: lift(e, v) for v, e in q.select if v in plain}
+            lifted |= {v: lift(e) for v, e in q.select if e is not None and v not in plain}
+            having = lift(q.having) if q.having else None
+            order_by = [(lift(e), up) for e, up in order_by]
+            df = df.groupBy(*q.group_by).agg(*[on.aggregate(e).alias(v) for v, e in aggregates.items()]) if aggregates else df.select(*q.group_by).distinct()
+            native = {v for v, e in aggregates.items() if e.name in _NUMBER_AGGREGATES}
+            for v, e in lifted.items():
+                if v not in plain:
+                    df = df.withColumn(v, Expressions(df.columns, native).term(e))
             if having is not None:
                 df = df.filter(Expressions(df.columns, native).truth(having))
         elif q.select:
             for v, e in q.select:
                 if e is not None:
                     df = df.withColumn(v, Expressions(df.columns).term(e))
-        if q.order_by:
-            keys = []
-            for e, up in q.order_by:
-                on = Expressions(df.columns, native)
-                parts = [on.number(e)] if on.kind(e) == "number" else [T.number(on.term(e)), on.term(e)]
-                keys += [k.asc() if up else k.desc() for k in parts]
-            df = df.orderBy(*keys)
-        if q.select is not None:
-            for v, _ in q.select:
-                if v not in df.columns:
-                    df = df.withColumn(v, F.lit(None).cast("string"))
-            df = df.select(*[v for v, _ in q.select])
-        else:
-            df = df.select(*[c for c in _order(q.where, df.columns) if not c.startswith("_")])
+        keys = []
+        for e, up in order_by:
+            on = Expressions(df.columns, native)
+            for part in [on.number(e)] if on.kind(e) == "number" else [T.number(on.term(e)), on.term(e)]:
+                df = df.withColumn(f"_key{len(keys)}", part)
+                keys.append(up)
+        names = [v for v, _ in q.select] if q.select is not None else [c for c in _order(q.where, df.columns) if not c.startswith("_")]
+        df = df.withColumns({v: F.lit(None).cast("string") for v in names if v not in df.columns})
+        by = [f"_key{k}" for k in range(len(keys))]
         if q.distinct:
-            df = df.distinct()
+            # Equal rows are one before they are cut; of keys that it doesn't show, a row has the first.
+            df = df.groupBy(*names).agg(*[(F.min if up else F.max)(k).alias(k) for k, up in zip(by, keys, strict=True)]) if by else df.select(*names).distinct()
+        if by:
+            df = df.orderBy(*[F.col(k).asc() if up else F.col(k).desc() for k, up in zip(by, keys, strict=True)])
+        df = df.select(*names)
         if q.offset:
             df = df.offset(q.offset)
         return df.limit(q.limit) if q.limit is not None else df

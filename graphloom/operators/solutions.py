@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.query import having_rows
+
 
 class Solutions:
     """Wraps a DataFrame; every operator gives a new table."""
@@ -48,15 +50,13 @@ class Solutions:
         return Solutions(self.df.crossJoin(other.df))
 
     def join(self, other: Solutions) -> Solutions:
-        """On all shared columns; without any it is an error."""
+        """On all shared columns; the product of tables that share none."""
         shared = [c for c in self.df.columns if c in other.df.columns]
-        if not shared:
-            raise ValueError("the tables share no column")
-        return Solutions(self.df.join(other.df, shared))
+        return Solutions(self.df.join(other.df, shared)) if shared else self.product(other)
 
     def semi_join(self, other: Solutions) -> Solutions:
-        shared = [c for c in self.df.columns if c in other.df.columns]
-        return Solutions(self.df.join(other.df, shared, "left_semi"))
+        """Rows with a partner; without shared columns all rows if the other table has any."""
+        return Solutions(having_rows(self.df, other.df, True))
 
     def select(self, *columns: str) -> Solutions:
         self._known(*columns)
