@@ -1,8 +1,8 @@
 """Personal data: format patterns, and boosted trees over high-recall candidates.
 
 Generators propose spans that may overlap: spelled-out e-mail addresses, phone
-numbers without a country code, social security numbers, account numbers (IBAN)
-and digit runs of other groupings. Each candidate gets format features (digits,
+numbers without a country code (ten digits in any of the usual groupings), social
+security numbers and account numbers (IBAN). Each candidate gets format features (digits,
 letters, separators, borders) and context features (cue words before it). Small
 regression trees, boosted on the logistic loss over labelled samples, give a
 score; Platt scaling on held-out samples makes it a probability, and a threshold
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import text_of
-from graphloom.llm.spans import joined, no_places, overlaps, places, tagged
+from graphloom.llm.spans import around, chains, free_of, joined, let, no_places, overlaps, places, tagged, windows
 
 #: The leftmost matches of these are those of the plain patterns (see the tests): a run is entered at its start, or where the last match ended.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -31,8 +31,8 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
 #: Kind, generator, cue words. Each generator also needs what its guard tests, so most texts skip it.
 GENERATORS = (
-    ("spelled_email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]++)++", ("mail", "contact", "write", "reach")),
-    ("local_phone", r"(?<![0-9+])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])", ("phone", "tel", "call", "mobile", "fax", "cell")),
+    ("spelled_email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?i:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]++(?: ?(?i:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]++)++", ("mail", "contact", "write", "reach")),
+    ("local_phone", r"(?<![0-9+])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])", ("phone", "tel", "call", "mobile", "fax", "cell")),
     ("ssn", r"(?<![0-9])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9])", ("ssn", "social", "security")),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", ("iban", "account", "bank", "konto", "compte", "cuenta")),
 )
@@ -84,7 +84,7 @@ def labelled_samples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             hit = word() + at + word() + dot + (rng.choice(("com", "org", "net", "de")) if good else word())
         elif kind == 1:
             sep = rng.choice(" .-")
-            hit = (f"({digits(3)}) {digits(3)}-{digits(4)}" if rng.random() < 0.5 else digits(3) + sep + digits(3) + sep + digits(4)) if good else digits(6) + rng.choice(" .-") + digits(4)
+            hit = (f"({digits(3)}) {digits(3)}-{digits(4)}" if rng.random() < 0.5 else digits(3) + sep + digits(3) + sep + digits(4)) if good and rng.random() < 0.8 else digits(10) if good or rng.random() < 0.5 else digits(6) + rng.choice(" .-") + digits(4)
         elif kind == 2:
             hit = f"{digits(3)}-{digits(2)}-{digits(4)}" if good else f"{digits(3)} {digits(2)} {digits(4)}"
         else:
@@ -167,17 +167,16 @@ def probability(values: list[Column]) -> Column:
 def _selected(candidates: Column, text: Column, kind: int) -> Column:
     """Candidates of one kind with their probability, those above the threshold."""
 
-    def seen(x: Column) -> Column:
-        start = F.greatest(x["start"] - CONTEXT, F.lit(0))
-        before = F.substring(text, start.cast("int") + 1, (x["start"] - start).cast("int"))
-        after = F.substring(text, x["end"].cast("int") + 1, F.lit(2))
+    def seen(x: Column, parts: Column) -> Column:
+        before, after = around(parts, x["start"], CONTEXT, 0), around(parts, x["end"], 0, 2)
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array(*features(kind, before, x["hit"], after)).alias("f"))
 
     def scored(x: Column) -> Column:
         p = probability([F.get(x["f"], i) for i in range(len(FEATURES))])
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(GENERATORS[kind][0]).alias("kind"), F.lit(4 + kind).alias("order"), p.alias("p"))
 
-    return F.filter(F.transform(F.transform(candidates, seen), scored), lambda x: x["p"] > THRESHOLDS[kind])
+    some = let(candidates, lambda found: F.when(F.size(found) > 0, let(windows(text), lambda parts: F.transform(found, lambda x: seen(x, parts)))))
+    return F.filter(F.transform(some, scored), lambda x: x["p"] > THRESHOLDS[kind])
 
 
 def with_personal_data(df: DataFrame, text: str = "text") -> DataFrame:
@@ -193,21 +192,26 @@ def with_personal_data(df: DataFrame, text: str = "text") -> DataFrame:
         "_card": where(digit, F.filter(places(column, CARD), lambda x: plain(x["hit"], " -").between(12, 19) & F.call_function("luhn_check", F.translate(x["hit"], " -", "")))),
         "_phone": where(column.contains("+"), F.filter(places(column, PHONE), lambda x: plain(x["hit"], " ().+-").between(9, 15))),
     })
-    guards = (column.contains("dot") | column.contains("(at)") | column.contains("[at]") | column.contains("{at}"), column.rlike("[0-9]{3}[ .-][0-9]{4}"), column.rlike("[0-9]{3}[- ][0-9]{2}[- ]"), column.rlike("[A-Z]{2}[0-9]{2}"))
+    guards = (column.rlike(r"(?i)[({\[]at[)}\]]| at [A-Za-z0-9-]+ ?(?:[.({\[]| dot )"), column.rlike("[0-9]{3}[ .-]?[0-9]{4}"), column.rlike("[0-9]{3}[- ][0-9]{2}[- ]"), column.rlike("[A-Z]{2}[0-9]{2}"))
     base = F.concat("_email", "_ip", "_card", "_phone")
     found = []
     for kind, guard in enumerate(guards):
-        fresh = F.filter(places(column, GENERATORS[kind][1]), lambda x: ~F.exists(base, lambda b: overlaps(x, b)))
-        found.append(F.when(guard, _selected(fresh, column, kind)).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,kind:string,order:int,p:double>>)")))
-    df = df.withColumn("_candidates", F.concat(*found))
-    # Of overlapping candidates the likeliest stays, then the first by start and kind.
-    better = lambda y, x: (y["p"] > x["p"]) | ((y["p"] == x["p"]) & ((y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["order"] < x["order"]))))
-    kept = F.filter("_candidates", lambda x: ~F.exists("_candidates", lambda y: overlaps(x, y) & better(y, x)))
-    return df.withColumn("_more", F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), x["kind"].alias("kind")))).drop("_candidates")
+        fresh = free_of(places(column, GENERATORS[kind][1]), base)
+        found.append(F.when(guard, _selected(fresh, column, kind)))
+    df = df.withColumn("_candidates", F.concat(*[F.coalesce(f, F.expr("cast(array() as array<struct<start:bigint,end:bigint,kind:string,order:int,p:double>>)")) for f in found]))
+    # Of a chain of overlapping candidates the likeliest is kept, then the likeliest of those that overlap none kept, and so on; ties go to the first by start and kind.
+    ranked = lambda chain: F.sort_array(F.transform(chain, lambda x: F.struct((-x["p"]).alias("rank"), x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    span = lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), x["kind"].alias("kind"))
+    none = F.expr("cast(array() as array<struct<start:bigint,order:int,end:bigint,kind:string>>)")
+    kept = F.transform(chains(F.col("_candidates")), lambda chain: F.aggregate(ranked(chain), none, lambda acc, x: F.when(F.exists(acc, lambda y: overlaps(x, y)), acc).otherwise(F.array_append(acc, span(x)))))
+    return df.withColumn("_more", F.when(F.size("_candidates") > 0, F.flatten(kept)).otherwise(none)).drop("_candidates")
 
 
 def scan(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: counts, base digest, all spans. A null or empty text has no spans; equal rows give equal results."""
+    """One row per input row: counts, base digest, all spans. A null or empty text has no spans; equal rows give equal results.
+
+    A long text takes time in proportion; only a chain of overlapping candidates is compared pair by pair.
+    """
     found = with_personal_data(df.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")))
     kinds = ("email", "ip", "card", "phone")
     base = F.concat(*[tagged(F.col(f"_{k}"), k, i) for i, k in enumerate(kinds)])

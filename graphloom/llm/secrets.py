@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import text_of
-from graphloom.llm.spans import joined, no_places, overlaps, places, tagged
+from graphloom.llm.spans import chains, cut_out, free_of, joined, no_places, places, tagged
 
 #: Leftmost matches equal those of the plain patterns: what is possessive can't give anything back that would help.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']? *+[:=] *+["']?([A-Za-z0-9+/_.=-]++)"""
@@ -124,14 +124,14 @@ def with_secrets(df: DataFrame, text: str = "text", prefix: str = "_") -> DataFr
         f"{prefix}token": places(column, TOKEN),
     })
     base = F.concat(f"{prefix}assign", f"{prefix}access", f"{prefix}hex")
-    fresh = F.filter(f"{prefix}token", lambda t: ~F.exists(base, lambda b: overlaps(t, b)) & (score(t["hit"]) > THRESHOLD))
+    fresh = F.filter(free_of(F.col(f"{prefix}token"), base), lambda t: score(t["hit"]) > THRESHOLD)
     return df.withColumn(f"{prefix}random", fresh).drop(f"{prefix}token")
 
 
 def scan(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: counts, base digest and all spans.
 
-    A null or empty text has no spans; equal rows give equal results.
+    A null or empty text has no spans; equal rows give equal results. A long text takes time in proportion.
     """
     found = with_secrets(df.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")))
     base = F.concat(tagged(F.col("_assign"), "assign", 0), tagged(F.col("_access"), "access", 1), tagged(F.col("_hex"), "hex", 2))
@@ -151,16 +151,10 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]", count: str
     columns = df.columns
     df = df.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
     df = with_secrets(df, "_text")
-    spans = F.sort_array(F.transform(F.concat("_assign", "_access", "_hex", "_random"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    piece = lambda start, end: F.substring(F.col("_text"), start.cast("int") + 1, (end - start).cast("int"))
+    spans = F.transform(F.concat("_assign", "_access", "_hex", "_random"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    masked = F.transform(chains(spans, touching=True), lambda c: F.struct(c[0]["start"].alias("start"), F.array_max(F.transform(c, lambda x: x["end"])).alias("end")))
 
-    def step(acc: Column, x: Column) -> Column:
-        masked = F.when(x["start"] > acc["at"], F.concat(acc["out"], piece(acc["at"], x["start"]), F.lit(mask))).when((acc["out"] == "") | (x["start"] >= acc["at"]), F.concat(acc["out"], F.when(acc["out"].endswith(mask), F.lit("")).otherwise(F.lit(mask)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), masked.alias("out"))
-
-    done = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.char_length("_text").cast("bigint"))))
-    out = F.when(F.size(spans) == 0, F.col("_text")).otherwise(done)
+    out = F.when(F.size(spans) == 0, F.col("_text")).otherwise(cut_out(F.col("_text"), masked, mask))
     df = df.select("_row", F.size(spans).alias("_spans"), out.alias("_out"))
     length = F.when(F.col("_spans") > 0, F.char_length("_out").cast("bigint"))
     values = {text: F.col("_out")} | ({count: F.coalesce(length, F.col("_row")[count])} if count else {})

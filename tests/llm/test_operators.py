@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
-from graphloom.llm import ann, bpe, licenses, neardup, packing, pii, quality, rangecoder, secrets, sharding, tokenfile, tokens  # noqa: E402
+from graphloom.llm import ann, bpe, licenses, neardup, packing, pii, quality, rangecoder, secrets, sharding, spans, tokenfile, tokens  # noqa: E402
 
 rng = random.Random(3)
 WORDS = ["river", "Stone", "under", "the", "MIT", "license", "Ünï", "データ", "a", "b,", "x.y"]
@@ -248,6 +248,36 @@ def test_secrets(docs, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_spans_overlaps_and_chains_against_pairs(spark):
+    r = random.Random(4)
+    some = lambda n: [(a, a + r.randrange(1, 9)) for a in (r.randrange(1200) for _ in range(n))]
+    rows = [(k, some(n), some(m)) for k, (n, m) in enumerate([(0, 3), (3, 0), (0, 0), (5, 5), (40, 60), (300, 20), (20, 300)])]
+    df = spark.createDataFrame(rows, "k int, s array<struct<start:bigint,end:bigint>>, b array<struct<start:bigint,end:bigint>>")
+    for got in df.select("k", spans.free_of(F.col("s"), F.col("b")).alias("free"), spans.chains(F.col("s")).alias("chains"), spans.scan(F.col("s"), lambda x: x["end"], lambda a, b: a + b, F.lit(0)).alias("sums")).collect():
+        _, s, b = rows[got.k]
+        assert sorted(map(tuple, got.free)) == sorted((x, y) for x, y in s if not any(x < v and u < y for u, v in b))
+        assert got.sums == np.cumsum([0] + [e for _, e in s])[:-1].tolist() if s else got.sums == []
+        want: list[list] = []
+        for x in sorted(s):
+            if want and x[0] < max(e for _, e in want[-1]):
+                want[-1].append(x)
+            else:
+                want.append([x])
+        assert [[tuple(x) for x in c] for c in got.chains] == want
+
+
+def test_long_texts_are_scanned_whole(spark):
+    r = random.Random(6)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    text = "".join(digits(r.randrange(2, 12)) + r.choice(" .-") for _ in range(20_000)) + " call: 212-555-0147 token=abcdefgh1 x"
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found, secret = pii.scan(df).first(), secrets.scan(df).first()
+    want = [m for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    assert found.n_ip == len(want) and secret.n_assign == 1 and f"assign:{text.index('token')}:" in secret.spans
+    assert f"local_phone:{text.index('212-555')}:" in found.spans
+    assert secrets.redact(df).first().text == text.replace("token=abcdefgh1", "[SECRET]")
+
+
 def test_markov_models_hold_out():
     g = random.Random(1234)
     odd = [secrets.score_text(secrets.random_string(g)) > secrets.THRESHOLD for _ in range(400)]
