@@ -10,7 +10,7 @@ whose size is the vocabulary's.
 A chunk sends the words of one bucket as one compressed block: what is shuffled is
 a few bytes per chunk and distinct word, and less than two per pre-token. A
 frequent word comes once per chunk, a group of copies adds positions only, so
-neither can fill a task. Buckets follow the session's shuffle partitions.
+neither can fill a task. There are as many buckets as shuffle partitions, or as the input's size asks for.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import written
 
-#: Characters of text per chunk; a longer document is a chunk of its own.
-CHUNK = 32_000_000
+#: Bytes of text per chunk; a longer document is a chunk of its own.
+CHUNK = 24_000_000
+#: Bytes of input, as they lie on disk, per bucket of distinct words.
+BUCKET = 16_000_000
 _PARTS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64()))])
 _PARTS_SQL = "chunk bigint, bucket int, block binary, doc_ids array<bigint>, n_words array<bigint>"
 _CODED_SQL = "chunk bigint, bucket int, block binary"
@@ -88,29 +90,20 @@ def explode_words(pattern: str, buckets: int, chunk_chars: int):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        from graphloom.llm.tokens import _RUN, batches
+        from graphloom.llm import tokens
 
-        split, chunk = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
+        split, chunk, cuttable = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32, pattern == tokens.PATTERN
         for part in parts:
             ids = part.column(0).to_pylist()
-            for first, texts in batches(part.column(1).to_pylist(), chunk_chars):
+            for first, last in tokens.slices(part.column(1), chunk_chars):
+                # Pieces between sure boundaries repeat: only distinct ones are split.
+                which, pieces, before = tokens.distinct_pieces(part.column(1).slice(first, last - first), cuttable)
                 words: dict[str, int] = {}
-                spaced: dict[str, bytes] = {}
                 place = words.setdefault
-                docs = []
-                for text in texts:
-                    text = text or ""
-                    head, *rest = [text] if _RUN.search(text) else text.split(" ")
-                    found = [np.array([place(w, len(words)) for w in split(head)], "<u4").tobytes()]
-                    for piece in rest:
-                        at = spaced.get(piece)
-                        if at is None:
-                            at = spaced[piece] = np.array([place(w, len(words)) for w in split(" " + piece)], "<u4").tobytes()
-                        found.append(at)
-                    docs.append(b"".join(found))
-                spaced.clear()
+                split_pieces = [np.array([place(w, len(words)) for w in split(p.decode())], "<u4").tobytes() for p in pieces]
+                positions, n_words = tokens.laid_out(which, before, split_pieces)
+                del pieces, split_pieces, which
                 # Frequent words first: their indices have zero high bytes.
-                positions = np.frombuffer(b"".join(docs), "<u4")
                 by_use = np.argsort(-np.bincount(positions, minlength=len(words)), kind="stable")
                 rank = np.empty(len(words), "<u4")
                 rank[by_use] = np.arange(len(words))
@@ -118,7 +111,7 @@ def explode_words(pattern: str, buckets: int, chunk_chars: int):
                 coded = [listed[k] for k in by_use]
                 positions = rank[positions]
                 bucket = np.fromiter((zlib.crc32(w) % buckets for w in coded), "<u4", len(coded))
-                rows = [(chunk, None, _squeeze(bucket, positions), ids[first : first + len(texts)], [len(d) // 4 for d in docs])]
+                rows = [(chunk, None, _squeeze(bucket, positions), ids[first:last], n_words.tolist())]
                 order = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in range(buckets):
@@ -200,7 +193,9 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_column: str =
     in. The exploded chunks are written before the shuffle, so a lost executor
     can't renumber them.
     """
-    buckets = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # The plan's own estimate of the input's bytes: no pass over the texts. Without one it is huge, and the partitions decide.
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    buckets = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET) if size < 1 << 60 else 0)
     docs = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     parts = written(docs.mapInArrow(explode_words(pattern, buckets, chunk_chars), _PARTS_SQL), "words")
     words = parts.filter(F.col("bucket").isNotNull()).select("chunk", "bucket", "block")

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own if that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; if that is unset, one of our own on a local master, where there is but one machine."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)

@@ -239,12 +239,16 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     pairs = stars.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
     links = written(pairs.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
     first = connected(links)
-    # Buckets that still hold several components, cut into blocks of about BLOCK members.
+    # Buckets that still hold several components. The largest component's members need no partners among themselves:
+    # the others are cut into blocks that meet each other and its blocks, so one stranger in a large bucket costs it one row a member.
     placed = crowded.select("band", "key", "m", "rep").join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "key")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = placed.join(mixed, ["band", "key"], "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.join(reps.select("rep", "keys", "sketch"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max(F.struct("n", F.col("component").alias("main"))).alias("top")).filter("parts > 1").select("band", "key", "top.n", "top.main")
+    own, theirs = F.ceil((F.col("m") - F.col("n")) / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = placed.join(mixed, ["band", "key"]).withColumns({"inside": F.col("component") == F.col("main"), "own": own, "theirs": theirs})
+    block = F.when(F.col("inside"), F.col("own") + F.pmod(F.xxhash64("rep"), F.col("theirs"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("own"))).cast("int")
+    rows = rows.withColumn("block", block).join(reps.select("rep", "keys", "sketch"), "rep")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("own")).otherwise(F.col("own") + F.col("theirs")) - 1)))
     rows = rows.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "keys", "sketch")
     open_pairs = written(rows.groupBy(*_BLOCK_KEY).applyInArrow(_screen(percent / 100 - SLACK, bands), _PAIRS), "pairs")
     wanted = open_pairs.select(*[F.col(c).alias(f"_{c}") for c in _BLOCK_KEY], F.explode(F.array_distinct(F.concat("xs", "ys"))).alias("rep")).join(sets, "rep")
@@ -272,4 +276,5 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", size:
     gone = checkpoint(near_duplicates(df, id_column, text, size, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return df.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
+    # The column of that frame, whatever the input's own columns are called.
+    return df.join(gone, df[id_column] == gone["_gone"], "left_anti")

@@ -5,8 +5,8 @@ numbers without a country code (ten digits in any of the usual groupings), socia
 security numbers and account numbers (IBAN). Each candidate gets format features (digits,
 letters, separators, borders) and context features (cue words before it). Small
 regression trees, boosted on the logistic loss over labelled samples, give a
-score; Platt scaling on held-out samples makes it a probability, and a threshold
-per kind selects. On executors the forest is one SQL expression.
+score; Platt scaling on held-out samples makes it a probability, and those samples
+set a threshold per kind. On executors the forest is one SQL expression.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ CONTEXT = 32
 #: Labelled samples that train the forest, and that calibrate it: the bounds of both sets.
 TRAIN, CALIBRATE = 3000, 1500
 TREES, RATE = 24, 0.3
-THRESHOLDS = (0.6, 0.6, 0.6, 0.6)
+#: A kind's threshold is the lowest, from even odds on, above which this share of its calibration samples is personal data.
+PRECISION = 0.9
 
 
 def features_text(kind: int, before: str, hit: str, after: str) -> list[float]:
@@ -123,8 +124,8 @@ def _leaf(tree: tuple | float, row: list[float]) -> float:
 
 
 @cache
-def forest(seed: int = 11) -> tuple[list, float, float]:
-    """(trees, slope, offset): probability = sigmoid(slope * sum of leaves + offset)."""
+def forest(seed: int = 11) -> tuple[list, float, float, list[float]]:
+    """(trees, slope, offset, threshold per kind): probability = sigmoid(slope * sum of leaves + offset)."""
     x, y = labelled_samples(TRAIN, seed)
     total, trees = np.zeros(len(y)), []
     for _ in range(TREES):
@@ -142,16 +143,24 @@ def forest(seed: int = 11) -> tuple[list, float, float]:
         h = np.array([[(w * margin * margin).sum() + 1e-3, (w * margin).sum()], [(w * margin).sum(), w.sum()]])
         step = np.linalg.solve(h, g)
         slope, offset = slope + float(step[0]), offset + float(step[1])
-    return trees, slope, offset
+    p, thresholds = 1 / (1 + np.exp(-(slope * margin + offset))), []
+    for kind in range(len(GENERATORS)):
+        of = hx[:, 0] == kind
+        order = np.argsort(-p[of], kind="stable")
+        ranked, right = p[of][order], np.cumsum(hy[of][order]) / np.arange(1, of.sum() + 1)
+        # Cut between different probabilities only.
+        ends = np.flatnonzero((right >= PRECISION) & np.append(ranked[:-1] > ranked[1:], True))
+        thresholds.append(max(0.5, round(float(ranked[ends[-1]]), 9) - 1e-9) if len(ends) else 1.0)
+    return trees, slope, offset, thresholds
 
 
 def probability_text(row: list[float]) -> float:
-    trees, slope, offset = forest()
+    trees, slope, offset, _ = forest()
     return 1 / (1 + math.exp(-(slope * RATE * sum(_leaf(t, row) for t in trees) + offset)))
 
 
 def probability(values: list[Column]) -> Column:
-    trees, slope, offset = forest()
+    trees, slope, offset, _ = forest()
 
     def expression(tree: tuple | float) -> Column:
         if not isinstance(tree, tuple):
@@ -176,7 +185,7 @@ def _selected(candidates: Column, text: Column, kind: int) -> Column:
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(GENERATORS[kind][0]).alias("kind"), F.lit(4 + kind).alias("order"), p.alias("p"))
 
     some = let(candidates, lambda found: F.when(F.size(found) > 0, let(windows(text), lambda parts: F.transform(found, lambda x: seen(x, parts)))))
-    return F.filter(F.transform(some, scored), lambda x: x["p"] > THRESHOLDS[kind])
+    return F.filter(F.transform(some, scored), lambda x: x["p"] > forest()[3][kind])
 
 
 def with_personal_data(df: DataFrame, text: str = "text") -> DataFrame:

@@ -2,8 +2,8 @@
 
 Two first-order models over the characters of a token, one of random strings and
 one of ordinary identifiers, are trained from labelled samples. A token's score
-is the mean log-likelihood ratio per character pair; tokens above the threshold
-are spans of kind ``random``. On executors the models are one constant array of
+is the mean log-likelihood ratio per character pair; tokens above a threshold, set on held-out
+samples, are spans of kind ``random``. On executors the models are one constant array of
 doubles and the score is a SQL fold over the token.
 """
 
@@ -28,7 +28,8 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-"
 SIDE = len(ALPHABET) + 1
-THRESHOLD = 0.35
+#: Share of held-out samples of a class that may lie beyond its edge; the threshold is midway between the edges.
+BEYOND = 0.002
 #: Labelled samples per class: the bound of the training set.
 SAMPLES = 4000
 
@@ -93,6 +94,15 @@ def ratio_table(samples: int = SAMPLES, seed: int = 7) -> list[float]:
     return [round(x - y, 4) for r, q in zip(odd, plain, strict=True) for x, y in zip(r, q, strict=True)]
 
 
+@cache
+def threshold(samples: int = SAMPLES, seed: int = 19) -> float:
+    """Midway between what nearly all held-out identifiers stay below and what nearly all held-out random strings reach."""
+    rng, table = random.Random(seed), ratio_table()
+    plain = sorted(score_text(t, table) for t in (ordinary_identifier(rng) for _ in range(samples)) if len(t) >= 20)
+    odd = sorted(score_text(random_string(rng), table) for _ in range(samples))
+    return round((plain[int(len(plain) * (1 - BEYOND)) - 1] + odd[int(len(odd) * BEYOND)]) / 2, 4)
+
+
 def score_text(token: str, table: list[float] | None = None) -> float:
     """The same score in plain Python, for tests."""
     table = table or ratio_table()
@@ -124,7 +134,7 @@ def with_secrets(df: DataFrame, text: str = "text", prefix: str = "_") -> DataFr
         f"{prefix}token": places(column, TOKEN),
     })
     base = F.concat(f"{prefix}assign", f"{prefix}access", f"{prefix}hex")
-    fresh = F.filter(free_of(F.col(f"{prefix}token"), base), lambda t: score(t["hit"]) > THRESHOLD)
+    fresh = F.filter(free_of(F.col(f"{prefix}token"), base), lambda t: score(t["hit"]) > threshold())
     return df.withColumn(f"{prefix}random", fresh).drop(f"{prefix}token")
 
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 
 #: A piece, perhaps with a space before it, that has no white space of Unicode.
 _VISIBLE = re.compile(rb" ?[!-~\x80-\xc1\xc3-\xe0\xe4-\xf4]+").fullmatch
+#: The split pattern that the cuts hold for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of pieces in one text for the library, and of texts at once: its own results take far more room than the ids.
 _JOINED, _AT_ONCE = 4_000, 400_000
 _LETTER, _OTHER, _SEEN, _SPACE, _FEED, _PRINT = 1, 2, 4, 8, 16, 32
@@ -94,6 +96,33 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def distinct_pieces(texts: pa.Array, cuttable: bool = True) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(which distinct piece stands at each place, the distinct pieces, number of pieces before each text, the total last)."""
+    data, starts = _flat(texts)
+    if len(data) >= 1 << 31:
+        raise ValueError("texts of 2 GB and more need smaller slices")
+    offsets = cuts(data, starts) if cuttable else np.unique(starts)
+    if len(offsets) < 2:
+        return np.zeros(0, np.int32), [], np.zeros(len(texts) + 1, np.int64)
+    pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(data)])
+    coded = pieces.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.searchsorted(offsets, starts)
+
+
+def laid_out(which: np.ndarray, first: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all pieces in order, number of values per text), of each distinct piece's unsigned 32-bit values."""
+    if not len(which):
+        return np.zeros(0, "<u4"), np.zeros(len(first) - 1, np.int64)
+    flat = np.frombuffer(b"".join(texts), "<u4")
+    count = np.fromiter(map(len, texts), np.int32, len(texts)) // 4
+    begin = np.cumsum(count, dtype=np.int32) - count
+    n = count[which]
+    ends = np.cumsum(n, dtype=np.int32)
+    place = np.arange(ends[-1], dtype=np.int32)
+    place += np.repeat(begin[which] - (ends - n), n)
+    return flat[place], np.diff(np.concatenate([[0], ends])[first])
+
+
 class PieceEncoder:
     """Texts to ids. The memo of pieces is bounded; it is emptied when full."""
 
@@ -153,15 +182,7 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids per text); null is the empty text."""
-        data, starts = _flat(texts)
-        if len(data) >= 1 << 31:
-            raise ValueError("texts of 2 GB and more need smaller slices")
-        offsets = cuts(data, starts) if self.cuttable else np.unique(starts)
-        if len(offsets) < 2:
-            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
-        pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(data)])
-        coded = pieces.dictionary_encode()
-        which, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which, words, first = distinct_pieces(texts, self.cuttable)
         if len(self.memo) > self.limit:
             self.memo.clear()
         found = list(map(self.memo.get, words))
@@ -169,15 +190,7 @@ class PieceEncoder:
         self._learn([words[k] for k in unknown])
         for k in unknown:
             found[k] = self.memo[words[k]]
-        flat = np.frombuffer(b"".join(found), "<u4")
-        count = np.fromiter(map(len, found), np.int32, len(found)) // 4
-        first = np.cumsum(count, dtype=np.int32) - count
-        n = count[which]
-        ends = np.cumsum(n, dtype=np.int32)
-        place = np.arange(ends[-1], dtype=np.int32)
-        place += np.repeat(first[which] - (ends - n), n)
-        whole = np.concatenate([[0], ends])[np.searchsorted(offsets, starts)]
-        return flat[place], np.diff(whole)
+        return laid_out(which, first, found)
 
     def encode_ending(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, with one more id at the end of each text."""
