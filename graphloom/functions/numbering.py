@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder (spark.checkpoint.dir, or a folder of our own if unset)."""
+    """Checkpoint in the shared folder (spark.checkpoint.dir; a folder of our own if unset on a local master)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+        root = sc.getConf().get("spark.checkpoint.dir")
+        if not root and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()
 
 
