@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import written
 
 #: Bytes of text per chunk; a longer document is a chunk of its own.
-CHUNK = 24_000_000
+CHUNK = 36_000_000
 #: Bytes of input, as they lie on disk, per bucket of distinct words.
 BUCKET = 16_000_000
 _PARTS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64()))])
