@@ -33,7 +33,7 @@ SAMPLE = 20_000
 #: Rows that the centre is the mean of.
 CENTRE = 2_000
 #: Beam of a search, and members that it expands in a round.
-BEAM, EXPAND = 320, 40
+BEAM, EXPAND = 320, 80
 #: Vectors whose lists are worked on in one group.
 GROUP = 2_000
 _STATE = "id bigint, near array<bigint>, far array<float>"
