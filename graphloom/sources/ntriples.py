@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ def read_ntriples(spark: SparkSession, path: str | list[str], sep: str = " ", di
     Separators inside ``<...>`` and quotes belong to the term, and a backslash
     escapes a quote.
     """
+    sep = sep if sep == "\t" else re.escape(sep)
     gap = rf"[{sep}\t]+" if sep != "\t" else r"\t+"
     stop = sep if sep == "\t" else rf"{sep}\t"
     term = rf'<[^>]*>|"(?:[^"\\]|\\.)*+"[^{stop}]*|[^<"#{stop}][^{stop}]*'
