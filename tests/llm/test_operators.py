@@ -1,6 +1,7 @@
 """Each corpus operator against plain Python on small tables with nulls, empties, repeats and clashing names."""
 
 import array
+import base64
 import hashlib
 import math
 import random
@@ -280,11 +281,20 @@ def test_long_texts_are_scanned_whole(spark):
 
 def test_markov_models_hold_out():
     g = random.Random(1234)
-    odd = [secrets.score_text(secrets.random_string(g)) > secrets.THRESHOLD for _ in range(400)]
-    plain = [secrets.score_text(secrets.ordinary_identifier(g)) > secrets.THRESHOLD for _ in range(400)]
+    odd = [secrets.score_text(secrets.random_string(g)) > secrets.threshold() for _ in range(400)]
+    plain = [secrets.score_text(secrets.ordinary_identifier(g)) > secrets.threshold() for _ in range(400)]
     assert sum(odd) > 0.95 * 400 and sum(plain) < 0.03 * 400
 
 
+def test_markov_models_on_strings_of_no_generator():
+    """Digests and their base64 against names written by hand."""
+    digests = [hashlib.sha256(str(k).encode()).digest() for k in range(300)]
+    odd = [d.hex()[:40] for d in digests] + [base64.b64encode(d).decode().rstrip("=") for d in digests]
+    plain = ["org/apache/spark/sql/catalyst2", "getUserAccountByIdentifier2", "test_quality_rules_over_2_pages", "2024-05-17T10-30-00_backup", "AbstractSingletonProxyFactoryBean3", "https/2019/documents/annual-report", "MAX_RETRY_COUNT_FOR_UPLOAD_2", "kubernetes-dashboard-service-v2"]
+    assert sum(secrets.score_text(t) > secrets.threshold() for t in odd) >= 0.99 * len(odd)
+    assert not [t for t in plain if secrets.score_text(t) > secrets.threshold()]
+
+
 def test_redaction(docs):
     out = by_id(secrets.redact(docs, count="n_words"))
     assert out[22].text.count("[SECRET]") >= 4 and "hunter2" not in out[22].text
