@@ -250,6 +250,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     rows = rows.withColumn("block", block).join(reps.select("rep", "keys", "sketch"), "rep")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("own")).otherwise(F.col("own") + F.col("theirs")) - 1)))
     rows = rows.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "keys", "sketch")
+    # Work goes with the square of a block, bytes don't: tasks are not to be joined by bytes.
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_BLOCK_KEY)
     open_pairs = written(rows.groupBy(*_BLOCK_KEY).applyInArrow(_screen(percent / 100 - SLACK, bands), _PAIRS), "pairs")
     wanted = open_pairs.select(*[F.col(c).alias(f"_{c}") for c in _BLOCK_KEY], F.explode(F.array_distinct(F.concat("xs", "ys"))).alias("rep")).join(sets, "rep")
     more = open_pairs.groupBy(*_BLOCK_KEY).cogroup(wanted.groupBy(*[f"_{c}" for c in _BLOCK_KEY])).applyInArrow(_settle(percent), "a bigint, b bigint")
