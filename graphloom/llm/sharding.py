@@ -7,20 +7,26 @@ capacities (floor or ceil of rows / shards) all counts are at most one apart
 (law ``rows``); without capacities it is the plain ring (law ``key``).
 
 What happens to a key depends on its arc (the stretch before a point) and its
-rank in the arc alone. So Spark counts keys per arc, the driver lets the counts
+rank in the arc alone. So Spark sorts narrow rows by range in ring order, keeps
+that order in a checkpoint and counts keys per arc; the driver lets the counts
 of ``shards * vnodes`` arcs flow - a table whose size depends on the two
-parameters only - and the resulting segments (arc, rank range -> shard, first
-slot) are joined back. One shuffle of narrow rows, no Python on executors.
+parameters only - and the resulting segments (arc, range of places -> shard,
+first slot) are joined back. One shuffle, no Python on executors, and an arc or
+a key with most of the rows is spread over as many tasks as any other rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections import Counter
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import checkpoint
+
 RING_BITS = 40
 
 
@@ -90,24 +96,33 @@ def shard_rows(df: DataFrame, key: str, size: Column, shards: int = 40, vnodes:
     spark = df.sparkSession
     points = ring_points(shards, vnodes)
     place = F.shiftrightunsigned(F.xxhash64(F.lit("ring"), F.col(key)), 64 - RING_BITS)
-    rows = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), size.cast("bigint").alias("_size"), F.array(*[c.cast("string") for c in tie or []]).cast("array<string>").alias("_tie"), place.alias("_place"))
+    rows = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), size.cast("bigint").alias("_size"), F.array(*[c.cast("string") for c in tie or []]).cast("array<string>").alias("_tie"), place.alias("_place"), F.monotonically_increasing_id().alias("_nth"))
     rows = rows.withColumn("_arc", _arc_of(F.col("_place"), points))
-    # Counting reads the key column alone.
-    count_by_arc = dict(df.select(_arc_of(place, points).alias("a")).groupBy("a").count().collect())
-    counts = [count_by_arc.get(i, 0) for i in range(len(points))]
+    # Sorted over all tasks by range, so rows of one arc, or of one key, may lie in many of them.
+    order = ["_arc", "_place", "_key", "_tie", "_nth"]
+    at = F.monotonically_increasing_id()
+    numbered = checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_row", "_size", "_place", "_arc", F.shiftright(at, 33).cast("int").alias("_part"), at.bitwiseAND((1 << 33) - 1).alias("_nth")))
+    # A row per task and arc in it: at most tasks + arcs, as both are sorted.
+    found = numbered.groupBy("_part", "_arc").agg(F.count("*").alias("n")).collect()
+    count_by_arc, count_by_part = Counter(), Counter()
+    for r in found:
+        count_by_arc[r["_arc"]] += r["n"]
+        count_by_part[r["_part"]] += r["n"]
+    counts = [count_by_arc[i] for i in range(len(points))]
     total, owners = sum(counts), [s for _, s in points]
     capacity = [total // shards + (s < total % shards) for s in range(shards)] if law == "rows" else [total] * shards
-    segments, used = [], [0] * shards
+    # Segments by place in the order of all rows: arc, from, to, shard, what turns that place into the slot.
+    segments, used, first = [], [0] * shards, 0
     for arc, parts in enumerate(flow(counts, owners, capacity)):
-        rank = 0
         for shard, n in parts:
-            segments.append((arc, rank, rank + n, shard, used[shard] - rank))
+            segments.append((arc, first, first + n, shard, used[shard] - first))
             used[shard] += n
-            rank += n
-    # At most shards * vnodes + shards segments (each shard fills up once): safe to send to every executor.
+            first += n
+    # At most shards * vnodes + shards segments (each shard fills up once), and a row per task: safe to send to every executor.
     table = spark.createDataFrame(segments, "_a int, _from bigint, _to bigint, _shard int, _shift bigint")
-    rank = F.row_number().over(Window.partitionBy("_arc").orderBy("_place", "_key", "_tie")).cast("bigint") - 1
-    ranked = rows.withColumn("_rank", rank)
+    tasks = sorted(count_by_part)
+    before = spark.createDataFrame(list(zip(tasks, accumulate((count_by_part[t] for t in tasks[:-1]), initial=0), strict=True)) if tasks else [], "_part int, _before bigint")
+    ranked = numbered.join(F.broadcast(before), "_part").withColumn("_rank", F.col("_before") + F.col("_nth"))
     placed = ranked.join(F.broadcast(table), (F.col("_arc") == F.col("_a")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     if law == "key":
         bigger = ring_points(shards + 1, vnodes)

@@ -423,9 +423,47 @@ def test_sharding(spark, docs, none):
     assert sharding.op8_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("law", ["rows", "key"])
+def test_ring_against_plain_python(spark, law):
+    shards, vnodes = 5, 4
+    ids = [None if i % 9 == 0 else 7 if i % 3 == 0 else i for i in range(400)]
+    df = spark.createDataFrame([(d, f"t{i % 11}") for i, d in enumerate(ids)], "doc_id bigint, text string")
+    found = sharding.op8_documents(df, shards, vnodes, law).collect()
+    place = {r.doc_id: r.p for r in df.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit("ring"), "doc_id"), 64 - sharding.RING_BITS).alias("p")).distinct().collect()}
+    points = sharding.ring_points(shards, vnodes)
+    arc = lambda p: next((k for k, (at, _) in enumerate(points) if at >= p), 0)
+    # Rows in ring order wait at their arcs; in each round every arc, in order, offers its first rows to the next point.
+    waiting = [[] for _ in points]
+    for r in sorted(found, key=lambda r: (place[r.doc_id], str(r.text_crc32))):
+        waiting[arc(place[r.doc_id])].append(r)
+    room = [len(ids) // shards + (s < len(ids) % shards) if law == "rows" else len(ids) for s in range(shards)]
+    want = [[] for _ in points]
+    for d in range(len(points)):
+        for k, rows in enumerate(waiting):
+            shard = points[(k + d) % len(points)][1]
+            taken, waiting[k] = rows[: room[shard]], rows[room[shard] :]
+            room[shard] -= len(taken)
+            want[k] += [(r.doc_id, r.text_crc32, shard) for r in taken]
+    slots, expected = Counter(), []
+    for doc_id, text, shard in (x for rows in want for x in rows):
+        expected.append((str(doc_id), text, shard, slots[shard]))
+        slots[shard] += 1
+    assert sorted((str(r.doc_id), r.text_crc32, r.shard, r.slot) for r in found) == sorted(expected)
+
+
 def test_one_key_may_hold_most_rows(spark):
-    rows = sharding.op8_documents(spark.range(2000).select(F.when(F.col("id") < 1500, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("text"))).collect()
-    assert set(Counter(r.shard for r in rows).values()) == {50}
+    for hot in (F.lit(7), F.lit(None).cast("bigint")):
+        df = spark.range(2000).select(F.when(F.col("id") < 1500, hot).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
+        found = sharding.op8_documents(df)
+        assert set(Counter(r.shard for r in found.collect()).values()) == {50}
+    # Its rows lie in several tasks; so few bytes would be read by one.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(0, 20000, 1, 4).select(F.lit(7).alias("doc_id"), F.lit("x").alias("text"))
+        by_task = sharding.op8_documents(df).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in by_task) < 10000
 
 
 # 9 ------------------------------------------------------------------------
