@@ -480,6 +480,32 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_whole_and_altered_licenses(spark):
+    """Whole texts with words put in, left out (but for those of key phrases, which are mandatory) and moved by a long preface, and the same words in another order."""
+    texts = ["", None, "software software permission notice the the the"]
+    for label, whole, keys in licenses.WHOLE:
+        words, kept = whole.split(), " ".join(keys)
+        texts += [whole, "a preface " * 40 + whole.upper(), " ".join(w for i, w in enumerate(words) if i % 9 or licenses.words_of(w)[0] in kept.split()), " ".join(w + (" inserted" if i % 25 == 24 else "") for i, w in enumerate(words)), " ".join(sorted(words))]
+    texts += ["released here and now under what we call the mit license", "the license of this work is not stated here", "licensed kindly under the apache license version 2 0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    index = licenses.build_index(*licenses.frequencies(df))
+    found = by_id(licenses.scan(df))
+    for d, t in enumerate(texts):
+        for k, v in licenses.scan_text(t, index).items():
+            assert math.isclose(found[d][k], v, abs_tol=1e-5) if k == "score" else found[d][k] == v, (d, k)
+    for n, (label, _, _) in enumerate(licenses.WHOLE):
+        for d in range(3 + 5 * n, 7 + 5 * n):
+            assert label in found[d].labels.split(","), (label, d)
+        assert label not in found[7 + 5 * n].labels.split(",")
+    assert "apache-2" in found[len(texts) - 1].labels and found[len(texts) - 2].labels == ""
+
+
+def test_long_text_of_license_lines(spark):
+    df = spark.createDataFrame([(0, "released under the mit license. " * 20000)], "doc_id bigint, text string")
+    row = licenses.scan(df).first()
+    assert (row.n_words, row.n_base, row.labels) == (100000, 20000, "mit")
+
+
 # 10 -----------------------------------------------------------------------
 
 
