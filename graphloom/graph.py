@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import schema
 from graphloom.operators.lookup import TripleServer
-from graphloom.operators.match import Store, TableStore, TripleStore
+from graphloom.operators.match import EncodedStore, Store, TableStore, TripleStore
 from graphloom.operators.query import Runner
 from graphloom.operators.solutions import Solutions
 from graphloom.operators.updates import add_triples, remove_triples
@@ -99,7 +99,7 @@ class Graph:
         return Graph(TripleStore(remove_triples(self.triples(), gone)), self.settings)
 
     def save(self, path: str) -> None:
-        """Triples clustered by predicate and subject, so that row groups can be skipped; entities by type; types, terms and statistics."""
+        """Triples and encoded triples clustered by predicate and subject, so that row groups can be skipped; entities by type; types, terms, predicates and statistics."""
         rows = self.triples()
         rows.repartitionByRange("p", "s").sortWithinPartitions("p", "s").write.mode("overwrite").parquet(f"{path}/triples")
         kept = self.spark.read.parquet(f"{path}/triples")
@@ -108,13 +108,19 @@ class Graph:
         of = schema.entity_types(kept, types, self.settings.fold_types)
         schema.entities(kept).join(of, "s").repartitionByRange("tid", "s").sortWithinPartitions("tid", "s").write.mode("overwrite").parquet(f"{path}/entities")
         schema.dictionary(kept, types, self.settings.fold_types).write.mode("overwrite").parquet(f"{path}/terms")
+        schema.predicate_ids(kept).write.mode("overwrite").parquet(f"{path}/predicates")
+        ids = schema.encode(kept, self.spark.read.parquet(f"{path}/terms"), self.spark.read.parquet(f"{path}/predicates")).toDF("s", "p", "o")
+        ids.repartitionByRange("p", "s").sortWithinPartitions("p", "s").write.mode("overwrite").parquet(f"{path}/ids")
         plain = schema.type_table(kept, top=self.settings.max_types) if self.settings.fold_types else types
         plain.write.mode("overwrite").parquet(f"{path}/plain_types")
         schema.selectivity(kept, schema.entity_types(kept, plain)).write.mode("overwrite").parquet(f"{path}/statistics")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, settings: Settings | None = None) -> Graph:
+    def load(cls, spark: SparkSession, path: str, settings: Settings | None = None, encoded: bool = False) -> Graph:
+        """What ``save`` wrote. ``encoded``: matches on ids and type ranges, terms only for what is kept."""
         read = lambda name: spark.read.parquet(f"{path}/{name}")
+        if encoded:
+            return cls(EncodedStore(read("ids"), read("terms"), read("predicates"), read("types")), settings, schema.Statistics.collect(read("plain_types"), read("statistics")))
         return cls(TripleStore(read("triples"), read("entities").select("s", "props")), settings, schema.Statistics.collect(read("plain_types"), read("statistics")))
 
     def size(self) -> int:

@@ -8,18 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.terms import RDF_TYPE
+from graphloom.operators import schema
 from graphloom.plans.algebra import Pattern, Term, Var
 from graphloom.plans.planner import Star, kept_variables, order, stars
 from graphloom.sources.tables import EntityTable
 
 
-def _bind(df: DataFrame, places: list[tuple[str, object]], kept: set[str]) -> DataFrame:
+def _bind(df: DataFrame, places: list[tuple[str, object]], kept: set[str], value=lambda column, term: F.lit(term.text)) -> DataFrame:
     """Columns to variables: constants filter, a variable in several places must agree, the rest must exist."""
     test, out = F.lit(True), {}
     for column, node in places:
         c = F.col(column)
         if isinstance(node, Term):
-            test = test & (c == node.text)
+            test = test & (c == value(column, node))
         elif node.name in out:
             test = test & (c == F.col(out[node.name]))
         else:
@@ -39,18 +40,34 @@ class Store:
     def star(self, star: Star, kept: set[str]) -> DataFrame:
         raise NotImplementedError
 
+    def value(self, column: str, term: Term) -> Column:
+        """A constant as it stands in column s, p or o."""
+        return F.lit(term.text)
+
+    def ready(self, patterns: list[Pattern], inverse: bool) -> Store:
+        """The store that can answer these patterns."""
+        return self
+
+    def finish(self, df: DataFrame, patterns: list[Pattern]) -> DataFrame:
+        """Matches as terms."""
+        return df
+
+    def scan(self) -> DataFrame:
+        """(s, p, o) as ``star`` and ``free`` read them."""
+        return self.triples()
+
     def free(self, pattern: Pattern, kept: set[str], inverse: bool) -> DataFrame:
         """One pattern with a variable predicate, over forward triples, or the reversed ones too."""
-        rows = self.triples()
+        rows = self.scan()
         for column, node in (("s", pattern.s), ("o", pattern.o)):
             if isinstance(node, Term) and not inverse:
-                rows = rows.filter(F.col(column) == node.text)
+                rows = rows.filter(F.col(column) == self.value(column, node))
         if inverse:
             from graphloom.sources.ntriples import paired
 
             rows = paired(rows)
         places = [("s", pattern.s), ("p", pattern.p), ("o", pattern.o)]
-        out = _bind(rows, places, kept)
+        out = _bind(rows, places, kept, self.value)
         # A predicate or object that only has to exist makes no rows.
         single = [n for n in pattern.nodes() if isinstance(n, Var) and n.name not in kept]
         return out.distinct() if single else out
@@ -68,14 +85,17 @@ class TripleStore(Store):
     def star(self, star: Star, kept: set[str]) -> DataFrame:
         if self.entities is not None and len(star.edges) > 1:
             return self._from_entities(star, kept)
+        return self._from_rows(star, kept, self.rows)
+
+    def _from_rows(self, star: Star, kept: set[str], source: DataFrame) -> DataFrame:
         root = star.root
         parts = []
         for p in star.edges:
-            rows = self.rows.filter(F.col("p") == p.p.text).select(F.col("s").alias("_root"), F.col("o").alias("_leaf"))
+            rows = source.filter(F.col("p") == self.value("p", p.p)).select(F.col("s").alias("_root"), F.col("o").alias("_leaf"))
             if isinstance(root, Term):
-                rows = rows.filter(F.col("_root") == root.text)
+                rows = rows.filter(F.col("_root") == self.value("s", root))
             if isinstance(p.o, Term):
-                parts.append((rows.filter(F.col("_leaf") == p.o.text).select("_root"), True))
+                parts.append((rows.filter(F.col("_leaf") == self.value("o", p.o)).select("_root"), True))
             elif p.o == root:
                 parts.append((rows.filter("_leaf = _root").select("_root"), True))
             elif p.o.name in kept:
@@ -117,6 +137,86 @@ def _root_column(df: DataFrame, root, kept: set[str]) -> DataFrame:
     return df.select(*names) if names else df.select(F.lit(1).alias("_one"))
 
 
+class EncodedStore(TripleStore):
+    """Triples of ids (s, p, o): stars are matched and joined on integers, and only what is kept becomes terms.
+
+    A subject's id carries its type, so a star reads the id ranges of the types that have all its
+    predicates (with folded types: its classes, too); files are sorted by predicate and subject, so
+    whole row groups are skipped. Constants of a query are looked up once. Ids of predicates are
+    a space of their own: patterns that use one variable in both spaces are matched on terms.
+    """
+
+    #: More ranges than this become one from the first to the last: it only reads more.
+    RANGES = 32
+
+    def __init__(self, ids: DataFrame, terms: DataFrame, predicates: DataFrame, types: DataFrame):
+        super().__init__(ids)
+        self.terms, self.predicates = terms, predicates
+        # As large as the schema.
+        self.types = {r["tid"]: frozenset(r["preds"]) for r in types.select("tid", "preds").collect()}
+        self.pids = {r["pred"]: r["pid"] for r in predicates.collect()}
+        self.folds = any(p.startswith(f"{RDF_TYPE} ") for preds in self.types.values() for p in preds)
+        self.known: dict[str, int] = {}
+
+    def triples(self) -> DataFrame:
+        return schema.decode(self.rows.toDF("sid", "pid", "oid"), self.terms, self.predicates)
+
+    def scan(self) -> DataFrame:
+        return self.rows
+
+    def value(self, column: str, term: Term) -> Column:
+        return F.lit(self.pids.get(term.text, -1) if column == "p" else self.known[term.text])
+
+    def ready(self, patterns: list[Pattern], inverse: bool) -> Store:
+        as_predicate = {p.p.name for p in patterns if isinstance(p.p, Var)}
+        if inverse or as_predicate & {n.name for p in patterns for n in (p.s, p.o) if isinstance(n, Var)}:
+            return TripleStore(self.triples())
+        new = {n.text for p in patterns for n in (p.s, p.o) if isinstance(n, Term)} - self.known.keys()
+        if new:
+            self.known |= dict.fromkeys(new, -1) | {r["term"]: r["eid"] for r in self.terms.filter(F.col("term").isin(sorted(new))).select("term", "eid").collect()}
+        return self
+
+    def signature(self, star: Star) -> set[str]:
+        """What the type of a star's root must have."""
+        out = set()
+        for p in star.edges:
+            if not self.folds or p.p.text != RDF_TYPE:
+                out.add(p.p.text)
+            elif isinstance(p.o, Term):
+                out.add(f"{RDF_TYPE} {p.o.text}")
+        return out
+
+    def types_of(self, star: Star) -> list[int]:
+        """The types with all of a star's predicates, and the generic one."""
+        needed = self.signature(star)
+        return [0, *sorted(t for t, preds in self.types.items() if needed <= preds)]
+
+    def of_types(self, tids: list[int]) -> DataFrame:
+        """The triples of all entities of these types."""
+        ranges: list[list[int]] = []
+        for t in tids:
+            if ranges and ranges[-1][1] == t:
+                ranges[-1][1] = t + 1
+            else:
+                ranges.append([t, t + 1])
+        if len(ranges) > self.RANGES:
+            ranges = [[ranges[0][0], ranges[-1][1]]]
+        inside = [(F.col("s") >= (a << schema.TID_SHIFT)) & (F.col("s") < (b << schema.TID_SHIFT)) for a, b in ranges]
+        return self.rows.filter(reduce(Column.__or__, inside)) if inside else self.rows.limit(0)
+
+    def star(self, star: Star, kept: set[str]) -> DataFrame:
+        return self._from_rows(star, kept, self.of_types(self.types_of(star)))
+
+    def finish(self, df: DataFrame, patterns: list[Pattern]) -> DataFrame:
+        as_predicate = {p.p.name for p in patterns if isinstance(p.p, Var)}
+        names = df.columns
+        for v in names:
+            if v != "_one":
+                table = self.predicates.select(F.col("pid").alias("_id"), F.col("pred").alias("_term")) if v in as_predicate else self.terms.select(F.col("eid").alias("_id"), F.col("term").alias("_term"))
+                df = df.join(table, F.col(v) == F.col("_id")).drop(v, "_id").withColumnRenamed("_term", v)
+        return df.select(*names)
+
+
 class TableStore(Store):
     """Typed entity tables: a star over one table is one scan, whatever its width."""
 
@@ -185,6 +285,7 @@ class TableStore(Store):
 def match(store: Store, patterns: list[Pattern], wanted: set[str] | None, reference: bool = True, inverse: bool = False, stats=None) -> DataFrame:
     """All matches of a pattern, as a bag over its kept variables."""
     kept = kept_variables(patterns, wanted, reference)
+    store = store.ready(patterns, inverse)
     df = None
     for star in order(stars(patterns), stats):
         rows = store.free(star.edges[0], kept, inverse) if star.free else store.star(star, kept)
@@ -197,4 +298,4 @@ def match(store: Store, patterns: list[Pattern], wanted: set[str] | None, refere
             df = df.join(rows, shared)
         else:
             df = df.drop("_one").crossJoin(rows.drop("_one") if len(rows.columns) > 1 else rows) if len(df.columns) > 1 or "_one" not in df.columns else rows.crossJoin(df.select())
-    return df.drop("_one") if df is not None and len(df.columns) > 1 else df
+    return store.finish(df.drop("_one") if len(df.columns) > 1 else df, patterns) if df is not None else None
