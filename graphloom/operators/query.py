@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
-from graphloom.operators.match import Store, match
+from graphloom.functions.numbering import settled
+from graphloom.operators.match import Store, _bind, match
 from graphloom.plans.algebra import Call, Group, Pattern, Query, Term, Var, expression_variables
 from graphloom.plans.sparql import UnsupportedQuery
 
@@ -201,6 +202,8 @@ class Runner:
                 df = self.unit() if df is None else df
                 right = self.group(e[1], None)
                 df = having_rows(df, right, False) if set(df.columns) & set(right.columns) else df
+            elif name == "path":
+                df = _join(df, self.path(*e[1:]))
             elif name == "bind":
                 df = self.unit() if df is None else df
                 df = df.withColumn(e[2], Expressions(df.columns).term(e[1]))
@@ -212,6 +215,31 @@ class Runner:
             df = df.filter(Expressions(df.columns).truth(e[1])) if e[0] == "filter" else having_rows(df, self.group(e[1], None), e[2])
         return df
 
+    def path(self, s, step: Group, o, zero: bool) -> DataFrame:
+        """Pairs that one or more repetitions of a step connect, each once; with ``zero`` every term and itself, too.
+
+        Repetitions are joins until no pair is new: as many rounds as the longest shortest way has
+        steps. From a constant, or back from one, only its own pairs are followed.
+        """
+        edges = settled(self.group(step, {"_from", "_to"}).select("_from", "_to").distinct())
+        back = isinstance(o, Term) and not isinstance(s, Term)
+        if back:
+            edges = edges.select(F.col("_to").alias("_from"), F.col("_from").alias("_to"))
+        start = o if back else s
+        ends = edges.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+        new = edges.filter(F.col("_from") == start.text) if isinstance(start, Term) else edges
+        found = new
+        while not new.isEmpty():
+            new = settled(new.join(ends, "_to").select("_from", F.col("_next").alias("_to")).distinct().join(found, ["_from", "_to"], "left_anti"))
+            found = found.unionByName(new)
+        if zero:
+            constants = [n.text for n in (s, o) if isinstance(n, Term)]
+            terms = self.store.spark.createDataFrame([(t,) for t in constants], "t string") if constants else self.store.triples().select(F.explode(F.array("s", "o")).alias("t"))
+            found = found.unionByName(terms.select(F.col("t").alias("_from"), F.col("t").alias("_to"))).distinct()
+        if back:
+            found = found.select(F.col("_to").alias("_from"), F.col("_from").alias("_to"))
+        return _bind(found, [("_from", s), ("_to", o)], {n.name for n in (s, o) if isinstance(n, Var)})
+
     def unit(self) -> DataFrame:
         """One solution without bindings: what a group starts from."""
         return self.store.spark.range(1).select()

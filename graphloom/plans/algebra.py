@@ -42,7 +42,8 @@ class Call:
 
 @dataclass
 class Group:
-    """Elements in order: Pattern, ("filter", expr), ("optional", Group), ("union", [Group]), ("minus", Group), ("bind", expr, var), ("values", [vars], rows), ("group", Group), ("query", Query), ("exists", Group, bool)."""
+    """Elements in order: Pattern, ("filter", expr), ("optional", Group), ("union", [Group]), ("minus", Group), ("bind", expr, var), ("values", [vars], rows), ("group", Group), ("query", Query), ("exists", Group, bool),
+    ("path", node, Group from ?_from to ?_to, node, with zero steps): one or more repetitions of the group."""
 
     elements: list = field(default_factory=list)
 
