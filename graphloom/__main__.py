@@ -20,11 +20,12 @@ def main() -> None:
     parser.add_argument("--fold-types", action="store_true")
     parser.add_argument("--max-types", type=int)
     parser.add_argument("--mode", default="reference")
+    parser.add_argument("--encoded", action="store_true", help="query: match on ids")
     args = parser.parse_args()
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
     settings = Settings(args.fold_types, args.max_types, args.sep.replace("\\t", "\t"))
     if args.command in ("query", "stat"):
-        graph = Graph.load(spark, args.source, settings)
+        graph = Graph.load(spark, args.source, settings, args.encoded)
         if args.command == "stat":
             spark.read.parquet(f"{args.source}/statistics").show(50, False)
             return

@@ -160,6 +160,32 @@ def _(spark, sf_dir):
     return Graph.from_triples(triples_of(spark, sf_dir, "orders", "customer", "nation", "region"), distinct=False).query(PREFIX + FLAGSHIP)
 
 
+@_direct("bgp_encoded_snowflake", _FLAGSHIP_SQL)
+def _(spark, sf_dir):
+    """The flagship over ids of the whole graph, stars read by type ranges."""
+    return Graph.from_triples(triples_of(spark, sf_dir)).encoded().query(PREFIX + FLAGSHIP)
+
+
+@_direct("bgp_encoded_var_predicate", f"select p, o from {_triples_sql()} where s = '<urn:nation:7>'")
+def _(spark, sf_dir):
+    return Graph.from_triples(triples_of(spark, sf_dir)).encoded().query(PREFIX + "SELECT ?p ?o WHERE { <urn:nation:7> ?p ?o }")
+
+
+_sparql("q_path_sequence", "SELECT ?c ?name WHERE { ?c v:c_nation/v:n_region/v:r_name ?name }", f"select {_CUSTOMER} c, {_lit('r_name')} as name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+_sparql("q_path_alternative", "SELECT ?x ?n WHERE { ?x v:c_nation|v:s_nation ?n }", f"select {_CUSTOMER} x, {_iri('nation', 'c_nationkey')} n from customer union all select {_iri('supplier', 's_suppkey')}, {_iri('nation', 's_nationkey')} from supplier")
+_sparql("q_path_inverse", "SELECT ?n ?s WHERE { ?n ^v:s_nation ?s ; v:n_region <urn:region:2> }", f"select {_NATION} n, {_iri('supplier', 's_suppkey')} s from nation join supplier on s_nationkey = n_nationkey where n_regionkey = 2")
+_sparql(
+    "q_path_repeated_to",
+    "SELECT ?x WHERE { ?x (v:o_cust|v:c_nation|v:n_region)+ <urn:region:2> }",
+    f"with n as (select * from nation where n_regionkey = 2), c as (select * from customer join n on c_nationkey = n_nationkey) select {_NATION} x from n union all select {_CUSTOMER} from c union all select {_ORDER} from orders join c on o_custkey = c_custkey",
+)
+_sparql(
+    "q_path_repeated",
+    "SELECT ?x ?y WHERE { ?x (v:c_nation|v:n_region)+ ?y }",
+    f"select {_NATION} x, {_iri('region', 'n_regionkey')} y from nation union all select {_CUSTOMER}, {_iri('nation', 'c_nationkey')} from customer union all select {_CUSTOMER}, {_iri('region', 'n_regionkey')} from customer join nation on c_nationkey = n_nationkey",
+)
+
+
 @_direct("bgp_entity_star", f"select {_CUSTOMER} c, {_lit('c_name')} name, {_lit('c_mktsegment')} seg, {_iri('nation', 'c_nationkey')} n from customer")
 def _(spark, sf_dir):
     """A star read from whole entities (predicate -> objects) with one scan."""
@@ -236,6 +262,11 @@ def _(spark, sf_dir):
     return schema.characteristic_sets(triples_of(spark, sf_dir), top=2).select(F.array_join("preds", " ").alias("preds"), "n")
 
 
+@_direct("select_by_type", f"{_TYPES_SQL} select s, p, o from {_triples_sql()} t join sets using (s) join types using (preds) where tid in (1, 3)")
+def _(spark, sf_dir):
+    return Graph.from_triples(triples_of(spark, sf_dir)).encoded().of_types([1, 3])
+
+
 @_direct("stats_selectivity", f"{_TYPES_SQL}, typed as (select s, tid from sets join types using (preds)) select cast(tid as integer) tid, p, count(distinct s) n, count(distinct o) n_objects, round(count(distinct o) / count(distinct s), 6) sel from {_TYPED} join typed using (s) group by tid, p")
 def _(spark, sf_dir):
     rows = triples_of(spark, sf_dir)

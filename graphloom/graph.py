@@ -89,6 +89,19 @@ class Graph:
         """The same graph with stars read from whole entities: one scan instead of a join per predicate."""
         return Graph(TripleStore(self.triples(), schema.entities(self.triples())), self.settings, self.stats)
 
+    def encoded(self) -> Graph:
+        """The same graph matched on ids. They are numbered anew by each query: for more than one, ``save`` it and ``load`` it encoded."""
+        rows, types = self.triples(), self.types()
+        terms, predicates = schema.dictionary(rows, types, self.settings.fold_types), schema.predicate_ids(rows)
+        return Graph(EncodedStore(schema.encode(rows, terms, predicates).toDF("s", "p", "o"), terms, predicates, types), self.settings, self.stats)
+
+    def of_types(self, tids: list[int]) -> DataFrame:
+        """The triples of all entities of some types; 0 is the generic one."""
+        if isinstance(self.store, EncodedStore):
+            return self.store.decoded(self.store.of_types(sorted(tids)))
+        of = schema.entity_types(self.triples(), self.types(), self.settings.fold_types)
+        return self.triples().join(of.filter(F.col("tid").isin(tids)), "s", "left_semi").select("s", "p", "o")
+
     def cache(self) -> Graph:
         return Graph(TripleStore(self.triples().cache(), self.store.entities.cache() if isinstance(self.store, TripleStore) and self.store.entities is not None else None), self.settings, self.stats)
 

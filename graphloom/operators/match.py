@@ -146,7 +146,7 @@ class EncodedStore(TripleStore):
     a space of their own: patterns that use one variable in both spaces are matched on terms.
     """
 
-    #: More ranges than this become one from the first to the last: it only reads more.
+    #: A star reads no more ranges than this; beyond it one from the first to the last, which only reads more.
     RANGES = 32
 
     def __init__(self, ids: DataFrame, terms: DataFrame, predicates: DataFrame, types: DataFrame):
@@ -159,7 +159,10 @@ class EncodedStore(TripleStore):
         self.known: dict[str, int] = {}
 
     def triples(self) -> DataFrame:
-        return schema.decode(self.rows.toDF("sid", "pid", "oid"), self.terms, self.predicates)
+        return self.decoded(self.rows)
+
+    def decoded(self, ids: DataFrame) -> DataFrame:
+        return schema.decode(ids.toDF("sid", "pid", "oid"), self.terms, self.predicates)
 
     def scan(self) -> DataFrame:
         return self.rows
@@ -191,21 +194,21 @@ class EncodedStore(TripleStore):
         needed = self.signature(star)
         return [0, *sorted(t for t, preds in self.types.items() if needed <= preds)]
 
-    def of_types(self, tids: list[int]) -> DataFrame:
-        """The triples of all entities of these types."""
+    def of_types(self, tids: list[int], within: int | None = None) -> DataFrame:
+        """The triples of all entities of these types, in rising order. With ``within``, more ranges become one, which may hold others, too."""
         ranges: list[list[int]] = []
         for t in tids:
             if ranges and ranges[-1][1] == t:
                 ranges[-1][1] = t + 1
             else:
                 ranges.append([t, t + 1])
-        if len(ranges) > self.RANGES:
+        if within is not None and len(ranges) > within:
             ranges = [[ranges[0][0], ranges[-1][1]]]
         inside = [(F.col("s") >= (a << schema.TID_SHIFT)) & (F.col("s") < (b << schema.TID_SHIFT)) for a, b in ranges]
         return self.rows.filter(reduce(Column.__or__, inside)) if inside else self.rows.limit(0)
 
     def star(self, star: Star, kept: set[str]) -> DataFrame:
-        return self._from_rows(star, kept, self.of_types(self.types_of(star)))
+        return self._from_rows(star, kept, self.of_types(self.types_of(star), self.RANGES))
 
     def finish(self, df: DataFrame, patterns: list[Pattern]) -> DataFrame:
         as_predicate = {p.p.name for p in patterns if isinstance(p.p, Var)}
