@@ -29,7 +29,7 @@ MAGIC, MARK = b"GLTOKEN2", "\n--frame--\n"
 HEADER = struct.Struct("<8sIIQQQI")
 END = 2
 #: Bytes of text per frame, a longer document is a frame of its own; frames per file.
-FRAME, FRAMES = 6_000_000, 32
+FRAME, FRAMES = 2_000_000, 64
 _FRAME_SQL = "head binary, ids binary"
 
 
