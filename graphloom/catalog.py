@@ -15,6 +15,7 @@ from graphloom.operators.match import TableStore
 from graphloom.operators.solutions import Solutions
 from graphloom.operators.updates import add_triples, by_entity, remove_triples
 from graphloom.sources import ntriples
+from graphloom.sources.rows import EntityRows
 from graphloom.sources.tables import entity_tables
 
 PREFIX = "PREFIX v: <urn:v:> PREFIX c: <urn:class:> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#>\n"
@@ -34,6 +35,11 @@ def triples_of(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     return TableStore(spark, [t for t in found if not names or t.name in names]).triples()
 
 
+def rows_of(spark: SparkSession, sf_dir: str, *names: str) -> EntityRows:
+    """The same, by entity."""
+    return TableStore(spark, [t for t in entity_tables(spark, sf_dir) if not names or t.name in names]).entity_rows()
+
+
 def _sparql(name: str, text: str, sql: str, **options) -> None:
     _QUERIES[name] = lambda spark, sf_dir: tables_graph(spark, sf_dir).query(PREFIX + text, **options)
     _SQL[name] = sql
@@ -231,7 +237,7 @@ _SET_SQL = "select s, string_agg(distinct p, ' ' order by p) preds from {t} grou
 
 @_direct("schema_char_sets", f"select preds, count(*) n from ({_SET_SQL.format(t=_triples_sql())}) group by preds")
 def _(spark, sf_dir):
-    return schema.characteristic_sets(triples_of(spark, sf_dir)).select(F.array_join("preds", " ").alias("preds"), "n")
+    return schema.characteristic_sets(rows_of(spark, sf_dir)).select(F.array_join("preds", " ").alias("preds"), "n")
 
 
 _FOLD_SQL = f"(select s, case when p = '{RDF_TYPE}' then p || ' ' || o else p end p, o from {_triples_sql()})"
@@ -239,7 +245,7 @@ _FOLD_SQL = f"(select s, case when p = '{RDF_TYPE}' then p || ' ' || o else p en
 
 @_direct("schema_folded_sets", f"select preds, count(*) n from ({_SET_SQL.format(t=_FOLD_SQL)}) group by preds")
 def _(spark, sf_dir):
-    return schema.characteristic_sets(triples_of(spark, sf_dir), fold=True).select(F.array_join("preds", " ").alias("preds"), "n")
+    return schema.characteristic_sets(rows_of(spark, sf_dir), fold=True).select(F.array_join("preds", " ").alias("preds"), "n")
 
 
 _TYPED = _triples_sql()
@@ -248,18 +254,18 @@ _TYPES_SQL = f"with sets as ({_SET_SQL.format(t=_TYPED)}), types as (select pred
 
 @_direct("schema_entity_types", f"{_TYPES_SQL} select s, cast(tid as integer) tid from sets join types using (preds)")
 def _(spark, sf_dir):
-    rows = triples_of(spark, sf_dir)
+    rows = rows_of(spark, sf_dir)
     return schema.entity_types(rows, schema.type_table(rows))
 
 
 @_direct("schema_predicates", f"select p pred, cast(row_number() over (order by p) as integer) pid from (select distinct p from {_triples_sql()})")
 def _(spark, sf_dir):
-    return schema.predicate_ids(triples_of(spark, sf_dir))
+    return schema.predicate_ids(rows_of(spark, sf_dir))
 
 
 @_direct("limit_topk_types", f"{_TYPES_SQL} select preds, n from types order by n desc, preds limit 2")
 def _(spark, sf_dir):
-    return schema.characteristic_sets(triples_of(spark, sf_dir), top=2).select(F.array_join("preds", " ").alias("preds"), "n")
+    return schema.characteristic_sets(rows_of(spark, sf_dir), top=2).select(F.array_join("preds", " ").alias("preds"), "n")
 
 
 @_direct("select_by_type", f"{_TYPES_SQL} select s, p, o from {_triples_sql()} t join sets using (s) join types using (preds) where tid in (1, 3)")
@@ -302,7 +308,7 @@ def _(spark, sf_dir):
 terms as (select s term, tid from sets join types using (preds) union all select distinct o, 0 from t where o not in (select s from t))
 select term, cast(tid as integer) tid, cast(tid * 281474976710656 + row_number() over (partition by tid order by term) as bigint) eid from terms""")
 def _(spark, sf_dir):
-    rows = triples_of(spark, sf_dir)
+    rows = rows_of(spark, sf_dir)
     return schema.dictionary(rows, schema.type_table(rows))
 
 

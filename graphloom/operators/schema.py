@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.numbering import number_in_groups
+from graphloom.functions.numbering import number_in_groups, stored
 from graphloom.functions.terms import RDF_TYPE
+from graphloom.sources.rows import BITS, EntityRows, joined_masks, predicate_names, type_codes
 
 TID_SHIFT = 48
 
@@ -25,40 +26,66 @@ def predicate_sets(triples: DataFrame, fold: bool = False) -> DataFrame:
     return source.select("s", "p").groupBy("s").agg(F.array_sort(F.collect_set("p")).alias("preds"))
 
 
-def characteristic_sets(triples: DataFrame, fold: bool = False, top: int | None = None) -> DataFrame:
+def characteristic_sets(triples: DataFrame | EntityRows, fold: bool = False, top: int | None = None) -> DataFrame:
     """(preds, n): how many subjects carry each set; the ``top`` most frequent if given, ties by set text."""
-    found = predicate_sets(triples, fold).groupBy("preds").agg(F.count("*").alias("n"))
+    if isinstance(triples, EntityRows):
+        masks = triples.masks(fold)
+        found = masks.groupBy(*masks.columns[1:]).agg(F.count("*").alias("n")).select(predicate_names(triples.names(fold)), "n")
+    else:
+        found = predicate_sets(triples, fold).groupBy("preds").agg(F.count("*").alias("n"))
     return found.orderBy(F.desc("n"), F.array_join("preds", " ")).limit(top) if top else found
 
 
-def type_table(triples: DataFrame, fold: bool = False, top: int | None = None) -> DataFrame:
+def type_table(triples: DataFrame | EntityRows, fold: bool = False, top: int | None = None) -> DataFrame:
     """(tid, preds, n): type ids from 1 by falling frequency, ties by set text. One row per characteristic set, not per entity."""
     from pyspark.sql import Window
 
-    ranked = characteristic_sets(triples, fold).withColumn("tid", F.row_number().over(Window.orderBy(F.desc("n"), F.array_join("preds", " "))))
+    found = characteristic_sets(triples, fold)
+    found = stored(found, "types") if isinstance(triples, EntityRows) else found
+    ranked = found.withColumn("tid", F.row_number().over(Window.orderBy(F.desc("n"), F.array_join("preds", " "))))
     return (ranked.filter(F.col("tid") <= top) if top else ranked).select("tid", "preds", "n")
 
 
-def entity_types(triples: DataFrame, types: DataFrame, fold: bool = False) -> DataFrame:
+def entity_types(triples: DataFrame | EntityRows, types: DataFrame, fold: bool = False) -> DataFrame:
     """(s, tid) of every subject; 0 is the generic type of sets beyond the table."""
+    if isinstance(triples, EntityRows):
+        return _types_of(triples.masks(fold), types, triples.names(fold))
     return predicate_sets(triples, fold).join(types.select("tid", "preds"), "preds", "left").select("s", F.coalesce("tid", F.lit(0)).alias("tid"))
 
 
-def dictionary(triples: DataFrame, types: DataFrame, fold: bool = False) -> DataFrame:
+def _types_of(masks: DataFrame, types: DataFrame, names: list[str]) -> DataFrame:
+    """(s, tid) of (s, m0, ...)."""
+    return masks.join(F.broadcast(type_codes(types, names)), masks.columns[1:], "left").select("s", F.coalesce("tid", F.lit(0)).alias("tid"))
+
+
+def dictionary(triples: DataFrame | EntityRows, types: DataFrame, fold: bool = False) -> DataFrame:
     """(term, tid, eid) for all subjects and objects; eid packs the type id above a counter per type.
 
     Terms that are objects only are of type 0. Numbers follow the term order.
     """
-    subjects = entity_types(triples, types, fold)
-    objects = triples.select(F.col("o").alias("s")).distinct().join(subjects, "s", "left_anti").withColumn("tid", F.lit(0))
-    numbered = number_in_groups(subjects.unionByName(objects), "tid", "s", "counter")
+    if isinstance(triples, EntityRows):
+        # Subjects with their predicates and objects with none, combined by term in one exchange.
+        names = triples.names(fold)
+        masks = triples.row_masks(names, fold)
+        objects = triples.objects().select("s", *[F.lit(0).cast("bigint").alias(c) for c in masks.columns[1:]])
+        terms = _types_of(joined_masks(masks.unionByName(objects), "s"), types, names)
+    else:
+        subjects = entity_types(triples, types, fold)
+        objects = triples.select(F.col("o").alias("s")).distinct().join(subjects, "s", "left_anti").withColumn("tid", F.lit(0))
+        terms = subjects.unionByName(objects)
+    numbered = number_in_groups(terms, "tid", "s", "counter")
     return numbered.select(F.col("s").alias("term"), "tid", (F.shiftleft(F.col("tid").cast("bigint"), TID_SHIFT).bitwiseOR(F.col("counter"))).alias("eid"))
 
 
-def predicate_ids(triples: DataFrame) -> DataFrame:
+def predicate_ids(triples: DataFrame | EntityRows) -> DataFrame:
     """(pid, pred): from 1 in predicate order, an id space of its own."""
     from pyspark.sql import Window
 
+    if isinstance(triples, EntityRows):
+        # One row per predicate that occurs; names need no triples.
+        names = triples.names()
+        bits = triples.row_masks(names).agg(*[F.bit_or(f"m{k}").alias(f"m{k}") for k in range(-(-len(names) // BITS))])
+        return bits.select(F.posexplode(predicate_names(names)).alias("pid", "pred")).select((F.col("pid") + 1).alias("pid"), "pred")
     return triples.select(F.col("p").alias("pred")).distinct().withColumn("pid", F.row_number().over(Window.orderBy("pred"))).select("pid", "pred")
 
 
