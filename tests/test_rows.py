@@ -63,3 +63,34 @@ def test_numbers_go_on_over_tasks(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.concat(F.lit("t"), F.lpad("id", 5, "0")).alias("s"))
     found = number_in_groups(df.repartition(7), "g", "s", "n").orderBy("g", "s").collect()
     assert [(r.g, r.n) for r in found] == [(g, n) for g in range(3) for n in range(1, len(range(g, 5000, 3)) + 1)]
+
+
+def test_updates_and_merge_of_rows(spark, rows):
+    from graphloom.operators import updates
+    from graphloom.sources import ntriples
+
+    triples = rows.triples()
+    new = spark.createDataFrame([("<p:1>", "<a>", "x"), ("<t:1>", "<d>", "<new>"), ("<n>", "<a>", "v"), ("<n>", "<a>", "v")], "s string, p string, o string")
+    assert bag(updates.add_triples(rows, new)) == bag(updates.add_triples(triples, new))
+    assert bag(ntriples.merge(rows, rows)) == bag(triples.distinct())
+    assert bag(updates.by_entity(rows)) == bag(updates.by_entity(triples))
+
+
+def test_small_removals_leave_triples_where_they_are(spark):
+    from graphloom.operators import updates
+
+    rows = TableStore(spark, tables(spark)[2:]).entity_rows()
+    left = updates.remove_triples(rows.triples(), rows.only(["<d>"]).triples())
+    assert "Exchange hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
+    assert {r.p for r in left.collect()} == {RDF_TYPE}
+
+
+def test_encoded_rows_are_those_of_their_triples(spark, rows):
+    from graphloom.graph import Graph
+
+    triples = rows.triples().distinct()
+    types = schema.type_table(triples)
+    assert bag(schema.selectivity(rows, types)) == bag(schema.selectivity(triples, schema.entity_types(triples, types)))
+    terms, predicates = schema.dictionary(rows, types), schema.predicate_ids(rows)
+    assert bag(schema.decode(schema.encode(rows, terms, predicates), terms, predicates)) == bag(rows.triples())
+    assert bag(schema.triples_of_types(rows, types, [1, 3])) == bag(Graph.from_triples(triples).of_types([1, 3]))
