@@ -47,4 +47,5 @@ def number_in_groups(df: DataFrame, group: str, order: str, name: str) -> DataFr
     placed = stored(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
     runs = placed.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = runs.select(group, "_part", (F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n") - F.col("_first") + 1).alias("_shift"))
+    before = stored(before, "runs")
     return placed.join(F.broadcast(before), [group, "_part"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")

@@ -97,6 +97,7 @@ def predicate_ids(triples: DataFrame | EntityRows) -> DataFrame:
         # One row per predicate that occurs; names need no triples.
         names = triples.names()
         bits = triples.row_masks(names).agg(*[F.bit_or(f"m{k}").alias(f"m{k}") for k in range(-(-len(names) // BITS))])
+        bits = stored(bits, "predicates")
         return bits.select(F.posexplode(predicate_names(names)).alias("pid", "pred")).select((F.col("pid") + 1).alias("pid"), "pred")
     return triples.select(F.col("p").alias("pred")).distinct().withColumn("pid", F.row_number().over(Window.orderBy("pred"))).select("pid", "pred")
 

@@ -123,3 +123,24 @@ def test_types_are_selected_without_ids(spark, monkeypatch):
     assert calls == ["hashes"]
     triples = graph.triples().distinct()
     assert found == bag(Graph.from_triples(triples).of_types([1, 3]))
+
+
+def test_one_subject_leaves_the_dictionary_where_it_is(spark, monkeypatch):
+    """What is said of one subject is looked up without an exchange of all terms."""
+    from graphloom.graph import Graph
+    from graphloom.operators import match
+
+    plans, kept = [], getattr(match, "stored", None)
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(match, "stored", lambda df, name: plan(df) or kept(df, name), raising=False)
+    many = spark.range(30000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("a"))
+    graph = Graph.from_tables(spark, [*tables(spark)[:2], EntityTable("many", lambda: many, F.concat(F.lit("<m:"), F.col("k").cast("string"), F.lit(">")), {"<a>": F.col("a")}, "<M>", "<m:")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    try:
+        found = graph.encoded().query("SELECT ?p ?o WHERE { <p:1> ?p ?o }")
+        plan(found)
+        assert bag(found) == bag(Graph.from_triples(graph.triples()).query("SELECT ?p ?o WHERE { <p:1> ?p ?o }"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Plans that read the dictionary know it by its places.
+    assert any("_at#" in p for p in plans) and not any("SortMergeJoin" in p and "_at#" in p for p in plans)
