@@ -144,3 +144,22 @@ def test_one_subject_leaves_the_dictionary_where_it_is(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # Plans that read the dictionary know it by its places.
     assert any("_at#" in p for p in plans) and not any("SortMergeJoin" in p and "_at#" in p for p in plans)
+
+
+@pytest.mark.parametrize("few", [0, 4, 1000])
+def test_round_trip_with_few_and_many_objects(spark, rows, monkeypatch, few):
+    """Objects looked up by broadcast, by exchange or both: the same triples; few objects are not exchanged."""
+    monkeypatch.setattr(schema, "FEW", few)
+    types = schema.type_table(rows)
+    terms, predicates = schema.dictionary(rows, types), schema.predicate_ids(rows)
+    parts = schema.encoded_parts(rows, terms, predicates)
+    assert len(parts) == (2 if few == 4 else 1)
+    assert bag(schema.decode(parts, terms, predicates)) == bag(rows.triples())
+    whole = schema.encode(rows, terms, predicates)
+    assert bag(whole) == bag(schema.encode(rows.triples(), terms, predicates))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = schema.encoded_parts(rows, terms, predicates)[0][0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("SortMergeJoin" in plan) == (few == 0)
